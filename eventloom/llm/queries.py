@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventloom.llm.leaks import leaked_passages, removal_spans
+from eventloom.llm.linkage import frames, link_markets
+from eventloom.llm.mixing import mixture
 from eventloom.llm.nearest import nearest_in_time
+from eventloom.llm.subjects import document_subjects
 from eventloom.operators.wide import proper_ticker
 from eventloom.sources import table
 
@@ -19,7 +23,56 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("left_id").alias("target_id"), F.col("right_id").alias("trade_id"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of markets that settle on the same thing, each with its confidence."""
+    p, k = table(spark, sf_dir, "pm_markets"), table(spark, sf_dir, "k_topics")
+    left = frames(p, F.col("id"), F.col("question"), F.lit(None).cast("string"), F.col("_fetched_at"))
+    right = frames(k, proper_ticker(F.col("ticker")), F.col("title"), F.col("yes_sub_title"), F.col("_fetched_at"))
+    return link_markets(left, right).select(F.col("left_id").alias("pm_id"), F.col("right_id").alias("k_ticker"), "confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_links(spark, sf_dir).select("pm_id", "k_ticker").distinct()
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id=F.col("doc_id"), text=F.col("text"), item_id=F.col("item_id"), item_text=F.col("text")
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches to remove, in numbers of plain words; overlapping ones are merged."""
+    return removal_spans(_passages(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    topic = F.regexp_extract(F.upper(F.trim("event_ticker")), "^KX([A-Z]+)", 1)
+    return mixture(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), lang=F.col("lang"), topic=F.substring(topic, 1, 4)
+    )
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source is used and the shares really reached."""
+    return _mixture(spark, sf_dir)[1]
+
+
+def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return document_subjects(d, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang"), source=F.col("source"), address=F.col("event_ticker"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_uses": p7_uses, "p8_found": p8_found}
 
 ORACLES = {
     "p1_found": """
