@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from eventloom.plans import core_problems, core_sql
+from eventloom.plans import core_problems, core_sql, reference
 
 
 def queries() -> dict:
-    return dict(core_problems.QUERIES)
+    return dict(core_problems.QUERIES) | reference.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return dict(core_sql.ORACLES)
+    return dict(core_sql.ORACLES) | reference.ORACLES
