@@ -23,6 +23,7 @@ FACTS = {
     "last_price": "integer", "yes_bid": "integer", "yes_ask": "integer", "can_close_early": "boolean", "expiration_date": "date",
 }
 FIRST_DAY, LAST_DAY = dt.date(2025, 6, 23), dt.date(2025, 7, 15)
+RECORDS_PER_TASK = 1_000_000
 #: Texts that say nothing.
 BLANKS = ["", "-", "--", "null", "none", "nan", "nat", "n/a", "na", "#n/a"]
 
@@ -192,7 +193,8 @@ def to_wide(records: DataFrame, partitions: int | None = None) -> DataFrame:
     named = computed_once(picked.where("ticker <> '' AND value IS NOT NULL"), name=resolve_name(F.col("spelled"))).where("name IS NOT NULL")
     tidy = computed_once(named, slot=slots[F.col("name")], kind=kind_of[F.col("name")], text=F.regexp_replace("value", OUTER, ""))
     cells = computed_once(tidy, cell=typed_cell(F.col("kind"), F.col("text"))).where("cell IS NOT NULL").select("ticker", "slot", "us", "raw", "cell")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # nothing coalesces or splits an RDD's shuffle at run time, so its width follows the number of records
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), records.select("ticker").count() // RECORDS_PER_TASK)
     pairs = cells.rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4])))
     rows = pairs.combineByKey(Registers.create, Registers.add, Registers.merge, n).map(_encoder(names, kinds))
     schema = T.StructType([T.StructField("ticker", T.StringType())] + [T.StructField(c, KINDS[k]) for c, k in cols.items()])
