@@ -156,3 +156,19 @@ def test_subjects(spark):
     assert got[1] == {"law"} and got[2] == {"sports"} and 101 not in got and 102 not in got
     assert got[103] == {"law", "sports"} and got[104] == {"law"} and got[100] == {"general"}
     assert document_subjects(d.limit(0), doc_id=c("doc_id"), text=c("text"), lang=c("lang"), source=c("source"), address=c("subject")).count() == 0
+
+
+def test_copies_and_small_languages_are_not_stock(spark):
+    law = "The magistrate enjoined the indictment after the deposition. "
+    sport = "The goalkeeper benched the championship squad before the playoff. "
+    fill = [(i, f"Note {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10] * 3} arrived. " * 2, "en", "news", "KXB") for i in range(100)]
+    copies = [(200 + i, law * 4, "en", "news", "KXA") for i in range(50)]
+    small = [(300 + i, sport * (i + 1), None, "news", "KXC") for i in range(3)]
+    more = [(310 + i, sport * 2 + f"Word {x} came late. ", "en", "news", "KXC") for i, x in enumerate(("uvw", "vwx", "wxy"))]
+    d = spark.createDataFrame(fill + copies + small + more, "doc_id long, text string, lang string, source string, subject string")
+    c = F.col
+    got: dict = {}
+    for r in document_subjects(d, doc_id=c("doc_id"), text=c("text"), lang=c("lang"), source=c("source"), address=c("subject")).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert all(got[i] == {"law"} for i in range(200, 250))
+    assert all(got[i] == {"sports"} for i in (300, 301, 302, 310, 311, 312))
