@@ -310,6 +310,18 @@ def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.col("a_id").alias("vec_id")).agg(F.max_by("vec_id", "sim").alias("best_id"))
 
 
+@query("""SELECT vec_id, best_id FROM (SELECT a.vec_id, b.vec_id AS best_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, best_id) = 1""")
+def cosine_top1_all(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest of all rows, whatever their label; of equals the least id."""
+    e = table(spark, d, "embeddings")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    e = e.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"), F.col("norm").alias("nx"))
+    j = e.crossJoin(a).where("a_id <> vec_id").withColumn("sim", F.round(dot(F.col("x"), F.col("embedding")) / (F.col("nx") * F.col("norm")), 9))
+    return j.groupBy(F.col("a_id").alias("vec_id")).agg(F.max_by("vec_id", F.struct("sim", -F.col("vec_id"))).alias("best_id"))
+
+
 @query("""WITH m AS (SELECT DISTINCT pm_id, k_ticker, pm_question, k_title FROM market_matches_embeddings), t AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(pm_question), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS a,
    list_distinct(list_filter(string_split(regexp_replace(lower(k_title), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS b FROM m WHERE pm_question IS NOT NULL AND k_title IS NOT NULL)
  SELECT pm_id, k_ticker, pm_question, k_title, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 8) AS jaccard FROM t""")

@@ -104,3 +104,11 @@ def test_orphans(spark):
     assert orphans(spark, refs, parents) == want == orphans(spark, refs, parents, keys_per_range=1, salts=3)
     assert orphans(spark, refs, []) == {(s, i, "missing") for s, k, i, _, _ in refs if k}
     assert orphans(spark, [], parents) == set()
+
+
+def test_nearest_vector_of_any_label(spark, tmp_path):
+    from eventloom.plans.reference import cosine_top1_all
+
+    rows = [(0, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (3, [2.0, 0.1], "b"), (2, [2.0, 0.1], "b")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in cosine_top1_all(spark, str(tmp_path)).collect()] == [(0, 2)]
