@@ -212,6 +212,26 @@ def review_candidates(spark: SparkSession, d: str) -> DataFrame:
     return j.select("pm_market_id", "k_market_id", "pm_key", "k_key", X.mismatch(["deadline"], "pm_", "k_").alias("reason")).distinct()
 
 
+_FIELDS = ["market_family", "predicate", "subject", "obj", "scope", "deadline", "season", "direction", "threshold"]
+_DIFFERS = ", ".join(f"CASE WHEN coalesce(CAST(p.{c} AS VARCHAR), '') <> coalesce(CAST(k.{c} AS VARCHAR), '') THEN '{c}_mismatch:' || coalesce(nullif(CAST(p.{c} AS VARCHAR), ''), '<blank>') || '!=' || coalesce(nullif(CAST(k.{c} AS VARCHAR), ''), '<blank>') END" for c in _FIELDS)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT exchange, CASE WHEN exchange = 'kalshi' THEN upper(trim(market_id)) ELSE market_id END AS market_id, contract_key, entity_signature, {', '.join(_FIELDS)} FROM contract_canonical_markets WHERE contract_key <> '' AND entity_signature <> '')
+ SELECT DISTINCT p.market_id AS pm_market_id, k.market_id AS k_market_id, p.contract_key AS pm_key, k.contract_key AS k_key, coalesce(nullif(concat_ws('; ', {_DIFFERS}), ''), 'same_contract_key') AS reason
+ FROM c p JOIN c k USING (entity_signature) WHERE p.exchange = 'polymarket' AND k.exchange = 'kalshi' AND p.contract_key <> k.contract_key""")
+def review_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every near miss, with all the fields that differ."""
+    c = table(spark, d, "contract_canonical_markets").where("contract_key <> '' AND entity_signature <> ''")
+
+    def side(exchange: str, prefix: str, mid) -> DataFrame:
+        fields = [F.col(x).cast("string").alias(prefix + x) for x in _FIELDS]
+        return c.where(F.col("exchange") == exchange).select(mid.alias(f"{prefix}market_id"), F.col("contract_key").alias(f"{prefix}key"), "entity_signature", *fields).distinct()
+
+    j = side("polymarket", "pm_", F.col("market_id")).join(side("kalshi", "k_", F.upper(F.trim("market_id"))), "entity_signature").where("pm_key <> k_key")
+    reason = X.mismatch(_FIELDS, "pm_", "k_")
+    return j.select("pm_market_id", "k_market_id", "pm_key", "k_key", F.when(reason == "", "same_contract_key").otherwise(reason).alias("reason")).distinct()
+
+
 _LIST = "regexp_replace(coalesce(outcomes, ''), '''', '\"', 'g')"
 
 
