@@ -78,6 +78,16 @@ def snapshots_wide(spark: SparkSession, d: str) -> DataFrame:
     return w.select("user_id", *[F.col(c).alias(f"yes_{c}") for c in _WIDE])
 
 
+_ALL = [f"2024_01_{x:02d}_{t}" for x in range(1, 31) for t in ("open_0500_PT", "close_1700_PT")]
+
+
+@query(SNAP_SQL + " SELECT user_id, " + ", ".join(f"max(CASE WHEN cutoff_label = '{c}' THEN value END) AS \"yes_{c}\"" for c in _ALL) + " FROM s GROUP BY 1")
+def snapshots_wide_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every cutoff of the calendar as a column."""
+    w = _snapshots(spark, d).groupBy("user_id").pivot("cutoff_label", _ALL).agg(F.first("value"))
+    return w.select("user_id", *[F.col(c).alias(f"yes_{c}") for c in _ALL])
+
+
 @query("SELECT user_id, epoch_us(v.ts) AS ts_us, event_id FROM events v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))

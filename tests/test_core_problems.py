@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventloom.operators.instants import PACIFIC, UTC, with_instant
 from eventloom.operators.orphans import Bitmap, orphan_references
 from eventloom.operators.wide import Registers, melt, to_wide
+from tests.compare import ROOT
 
 ATTR = "raw_id long, ticker string, attr_name string, attr_value string, recorded_at timestamp, cell string"
 
@@ -123,3 +124,10 @@ def test_review_candidates_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).write.parquet(f"{tmp_path}/contract_canonical_markets.parquet")
     got = review_candidates_all(spark, str(tmp_path)).collect()
     assert len(got) == 900 and {r.reason for r in got} == {"subject_mismatch:a!=b"}
+
+
+def test_every_cutoff_has_a_column(spark):
+    from eventloom.plans.reference import cutoff_calendar, snapshots_wide_all
+
+    labels = {f"yes_{r.cutoff_label}" for r in cutoff_calendar(spark, "").collect()}
+    assert len(labels) == 60 and set(snapshots_wide_all(spark, f"{ROOT}/sf0.001").columns) == {"user_id"} | labels
