@@ -177,11 +177,6 @@ def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) ->
         ws, iw = docs[doc], items.words[item]
         first, last = max(0, int(p[x:y].min()) - REACH), min(len(ws), int(p[x:y].max()) + REACH)
         i_first, i_last = max(0, int(ip[x:y].min()) - REACH), min(len(iw), int(ip[x:y].max()) + REACH)
-        low, high = int(diag[x]) - BAND, int(diag[y - 1]) + BAND
-        tells = [q for q in range(i_first, i_last) if items.telling[item][q]]
-        kept = sum(iw[q] in ws[max(0, q + low) : max(0, q + high + 1)] for q in tells)
-        if len(tells) > 2 and kept < 2:
-            continue
         out += stretches(items, doc, item, ws, first, last, i_first, i_last, int(diag[x]) - 2 * BAND, int(diag[y - 1]) + 2 * BAND, stretch)
     return list(set(out))
 

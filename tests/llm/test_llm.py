@@ -172,3 +172,10 @@ def test_copies_and_small_languages_are_not_stock(spark):
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert all(got[i] == {"law"} for i in range(200, 250))
     assert all(got[i] == {"sports"} for i in (300, 301, 302, 310, 311, 312))
+
+
+def test_leaked_part_without_telling_words(spark):
+    plain = "the ministry said that the public alert had been sent out before the storm came over the coast last night again"
+    items = [(i, f"{a} {b} {c} {plain}") for i, (a, b, c) in enumerate([("Zedor", "Damwenka", "444"), ("Kelfi", "Bowoki", "291"), ("Halzan", "Delworen", "73")])]
+    got = leaks(spark, [(1, "so " + plain + " indeed", ""), (2, "nothing of it", "")], items)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 0), (1, 1), (1, 2)}
