@@ -179,3 +179,11 @@ def test_leaked_part_without_telling_words(spark):
     items = [(i, f"{a} {b} {c} {plain}") for i, (a, b, c) in enumerate([("Zedor", "Damwenka", "444"), ("Kelfi", "Bowoki", "291"), ("Halzan", "Delworen", "73")])]
     got = leaks(spark, [(1, "so " + plain + " indeed", ""), (2, "nothing of it", "")], items)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, 0), (1, 1), (1, 2)}
+
+
+def test_frequent_and_short_names_meet(spark):
+    many = [(f"x{i}", f"win|{1900 + i}||", f"name{'abcdefghij'[i % 10]} trump") for i in range(60)]
+    L = spark.createDataFrame([*many, ("1", "exit|2026||", "d trump"), ("3", "exit|2026||", "trmup"), ("5", "exit|2027||", "li wu")], "id string, frame string, names string")
+    R = spark.createDataFrame([*many, ("2", "exit|2026||", "donald trump"), ("4", "exit|2026||", "trump"), ("6", "exit|2027||", "l wu")], "id string, frame string, names string")
+    got = {(x.left_id, x.right_id) for x in link_markets(L, R).collect() if x.left_id[0] != "x"}
+    assert got == {("1", "2"), ("3", "4"), ("5", "6")}
