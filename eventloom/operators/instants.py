@@ -1,23 +1,31 @@
 """Texts that name an instant, in any notation and zone, to microseconds since 1970-01-01 UTC.
 
 A text is rewritten to its civil parts and a zone. A zone given as an offset answers directly. A named
-zone goes through the as-of join: zone-offset intervals, exploded by civil year, are looked up with the
+zone goes through the as-of join: zone-offset intervals, exploded by civil years, are looked up with the
 civil time; two matching intervals make it ambiguous, none nonexistent, one gives the offset.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import os
+import struct
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from importlib import resources
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.functions.plan import computed_once
 from eventloom.operators.wide import OUTER, month_number
 
-FIRST_YEAR, LAST_YEAR = 1990, 2040
+#: Years whose intervals are in the table. Earlier years have each zone's first offset; the rules that hold
+#: from STEADY_YEAR on repeat, so a later year is read as the one of the last 28 that begins on the same
+#: weekday and has as many days.
+FIRST_YEAR, STEADY_YEAR, LAST_YEAR = 1840, 2038, 2065
+BLOCK = 8
 PACIFIC, UTC = "America/Los_Angeles", "UTC"
 #: Abbreviations with a fixed offset in minutes, and those that mean a zone's civil time.
 FIXED = {
@@ -42,39 +50,80 @@ NOTATIONS = [
 ]
 
 
+def _listed_changes(name: str) -> list[int]:
+    """UTC seconds at which a zone's compiled file (RFC 8536) lists a change."""
+    for root in TZPATH:
+        if os.path.isfile(os.path.join(root, name)):
+            with open(os.path.join(root, name), "rb") as f:
+                raw = f.read()
+            break
+    else:
+        raw = resources.files("tzdata.zoneinfo").joinpath(*name.split("/")).read_bytes()
+    head = struct.Struct(">4sc15x6l")
+    _, version, isut, isstd, leaps, times, types, chars = head.unpack_from(raw)
+    width, at = 4, head.size
+    if version >= b"2":
+        at += times * 5 + types * 6 + chars + leaps * 8 + isstd + isut
+        times, width, at = head.unpack_from(raw, at)[5], 8, at + head.size
+    return list(struct.unpack_from(f">{times}{'q' if width == 8 else 'l'}", raw, at))
+
+
 @lru_cache(maxsize=4)
-def offset_intervals(first: int = FIRST_YEAR, last: int = LAST_YEAR) -> list[tuple[str, int, int, int]]:
-    """(zone, first UTC second, end UTC second, offset in seconds): one row per stretch of constant offset."""
+def offset_intervals(first: int = FIRST_YEAR, last: int = LAST_YEAR) -> pa.Table:
+    """(zone, u0, u1, off): first UTC second, end UTC second and offset in seconds of every stretch of constant offset."""
     names = sorted(n for n in available_timezones() if "/" in n and not n.startswith(("posix", "right", "Etc/"))) + ["UTC"]
     lo, hi = (int(dt.datetime(y, 1, 1, tzinfo=dt.timezone.utc).timestamp()) for y in (first, last + 1))
     step = 28 * 86400
-    out = []
+    out: dict[str, list] = {"zone": [], "u0": [], "u1": [], "off": []}
     for name in names:
         z = ZoneInfo(name)
         off = lambda s, z=z: int(dt.datetime.fromtimestamp(s, z).utcoffset().total_seconds())
-        start, t, now = lo, lo, off(lo)
-        while t < hi:
+        listed = [c for c in _listed_changes(name) if lo < c < hi]
+        changes, t = listed, max([lo, *listed])
+        now = off(t)
+        while t < hi:  # what a rule makes after the last listed change
             nxt = min(t + step, hi)
             if off(nxt) != now:
                 a, b = t, nxt
                 while b - a > 1:
                     m = (a + b) // 2
                     a, b = (m, b) if off(m) == now else (a, m)
-                out.append((name, start, b, now))
-                start, t, now = b, b, off(b)
+                changes.append(b)
+                t, now = b, off(b)
             else:
                 t = nxt
-        out.append((name, start, hi, now))
-    return out
+        start, now = -(2**40), off(lo)
+        for c in [*changes, None]:
+            if c is None or off(c) != now:
+                out["zone"].append(name.lower()), out["u0"].append(start), out["u1"].append(hi if c is None else c), out["off"].append(now)
+                start, now = c, c and off(c)
+    return pa.table(out)
+
+
+def _year_of(days: Column) -> Column:
+    return F.year(F.date_add(F.lit(dt.date(1970, 1, 1)), days.cast("int")))
+
+
+def _block(year: Column) -> Column:
+    return F.floor((F.greatest(year, F.lit(FIRST_YEAR)) - FIRST_YEAR) / BLOCK).cast("int")
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
-    """(zone, civil_year, stretches): the intervals exploded by civil year. Its size is zones times years, whatever the data."""
-    rows = spark.createDataFrame(offset_intervals(), "zone string, u0 long, u1 long, off long")
-    civil = rows.select(F.lower("zone").alias("zone"), (F.col("u0") + F.col("off")).alias("c0"), (F.col("u1") + F.col("off")).alias("c1"), "off")
-    year = lambda s: F.year(F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(s / 86400).cast("int")))
-    by_year = civil.withColumn("civil_year", F.explode(F.sequence(year(F.col("c0")), year(F.col("c1") - 1))))
-    return by_year.groupBy("zone", "civil_year").agg(F.collect_list(F.struct("c0", "c1", "off")).alias("stretches"))
+    """(zone, block, stretches): the intervals exploded by blocks of civil years. Its size is zones times years, whatever the data."""
+    civil = spark.createDataFrame(offset_intervals()).select("zone", (F.col("u0") + F.col("off")).alias("c0"), (F.col("u1") + F.col("off")).alias("c1"), "off")
+    block = lambda s: _block(_year_of(F.floor(F.greatest(s, F.lit(-(2**32))) / 86400)))
+    by_block = civil.withColumn("block", F.explode(F.sequence(block(F.col("c0")), block(F.col("c1") - 1))))
+    return by_block.groupBy("zone", "block").agg(F.collect_list(F.struct("c0", "c1", "off")).alias("stretches"))
+
+
+def _like_year(y: Column) -> Column:
+    """A year of the table with the same calendar: the year itself up to LAST_YEAR."""
+    kind = lambda y: (y + (y - 1) // 4 - (y - 1) // 100 + (y - 1) // 400) % 7 * 2 + (y % 4 == 0 and (y % 100 != 0 or y % 400 == 0))
+    twin = {kind(x): x for x in range(LAST_YEAR, STEADY_YEAR - 1, -1)}
+    before = y - 1
+    weekday = F.pmod(y + F.floor(before / 4) - F.floor(before / 100) + F.floor(before / 400), F.lit(7))
+    leap = ((y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))).cast("int")
+    return F.when(y <= LAST_YEAR, y).otherwise(F.get(F.array(*[F.lit(twin[k]) for k in range(14)]), (weekday * 2 + leap).cast("int")))
 
 
 def _number_us(t: Column) -> Column:
@@ -120,14 +169,18 @@ def with_instant(df: DataFrame, text: Column, default_zone: str | Column, prefix
     fixed = F.create_map(*[F.lit(x) for k, v in FIXED.items() for x in (k.lower(), v)])
     civil = F.create_map(*[F.lit(x) for k, v in CIVIL.items() for x in (k.lower(), v.lower())])
     minutes = (part(2).try_cast("long") * 60 + F.coalesce(part(3).try_cast("long"), F.lit(0))) * F.when(part(1) == "-", -1).otherwise(1)
-    tidy = computed_once(tidy, __day=day, __hour=hour, __off=F.coalesce(minutes, fixed[z].cast("long")))
+    tidy = computed_once(tidy, __day=day, __hour=hour, __off=F.coalesce(minutes, fixed[z].cast("long"), F.when((z == "") & (F.col("__default") == "utc"), F.lit(0).cast("long"))))
     good = F.col("__day").isNotNull() & F.col("__y").isNotNull() & F.col("__m").isNotNull() & F.col("__hour").between(0, 23) & F.col("__mi").between(0, 59) & F.col("__s").between(0, 59)
     seconds = F.datediff("__day", F.lit(dt.date(1970, 1, 1))).cast("long") * 86400 + F.col("__hour") * 3600 + F.col("__mi") * 60 + F.col("__s")
     tidy = computed_once(tidy, __sec=F.when(good, seconds), __zone=F.when(F.col("__off").isNull(), F.when(z == "", F.col("__default")).otherwise(F.coalesce(civil[z], z))))
-    tidy = computed_once(tidy, __year=F.when(F.col("__zone").isNotNull(), F.year(F.date_add(F.lit(dt.date(1970, 1, 1)), F.floor(F.col("__sec") / 86400).cast("int")))))
-    zones = zone_table(df.sparkSession).select(F.col("zone").alias("__zone"), F.col("civil_year").alias("__year"), F.col("stretches").alias("__stretches"))
-    joined = tidy.join(F.broadcast(zones), ["__zone", "__year"], "left")
-    joined = computed_once(joined, __hits=F.filter("__stretches", lambda x: (x["c0"] <= F.col("__sec")) & (F.col("__sec") < x["c1"])))
+    year = F.year("__day")
+    jan1 = lambda y: F.datediff(F.make_date(y, F.lit(1), F.lit(1)), F.lit(dt.date(1970, 1, 1))).cast("long") * 86400
+    tidy = computed_once(tidy, __like=F.when(F.col("__zone").isNotNull() & F.col("__sec").isNotNull(), _like_year(year)))
+    # later years are looked up in the table's year of the same calendar
+    tidy = computed_once(tidy, __at=F.when(F.col("__like") == year, F.col("__sec")).otherwise(F.col("__sec") - jan1(year) + jan1(F.col("__like"))), __block=_block(F.col("__like")))
+    zones = zone_table(df.sparkSession).select(F.col("zone").alias("__zone"), F.col("block").alias("__block"), F.col("stretches").alias("__stretches"))
+    joined = tidy.join(F.broadcast(zones), ["__zone", "__block"], "left")
+    joined = computed_once(joined, __hits=F.filter("__stretches", lambda x: (x["c0"] <= F.col("__at")) & (F.col("__at") < x["c1"])))
     n = F.size("__hits")
     off_s = F.coalesce(F.col("__off") * 60, F.when(n == 1, F.col("__hits")[0]["off"]))
     joined = computed_once(joined, __us=F.coalesce((F.col("__sec") - off_s) * 1_000_000 + F.col("__frac"), F.col("__n")))
@@ -142,8 +195,7 @@ def with_instant(df: DataFrame, text: Column, default_zone: str | Column, prefix
     return out.select(*df.columns, f"{prefix}instant_us", f"{prefix}instant_state")
 
 
-def named_instants(df: DataFrame, table_name: str, row_id: str, field: str, default_zone: str) -> DataFrame:
-    """(table_name, row_id, field_name, instant_us) of the rows whose field names one instant; repeated rows count once."""
-    one = df.select(F.col(row_id).alias("row_id"), F.col(field).alias("text"))
-    got = with_instant(one, F.col("text"), default_zone).where("instant_state = 'ok' AND row_id IS NOT NULL")
-    return got.select(F.lit(table_name).alias("table_name"), "row_id", F.lit(field).alias("field_name"), "instant_us").distinct()
+def named_instants(texts: DataFrame) -> DataFrame:
+    """(table_name, row_id, field_name, instant_us) of the (table_name, row_id, field_name, text, zone) rows that name one instant; repeated rows count once."""
+    got = with_instant(texts, F.col("text"), F.col("zone")).where("instant_state = 'ok' AND row_id IS NOT NULL")
+    return got.select("table_name", "row_id", "field_name", "instant_us").distinct()

@@ -7,14 +7,11 @@ reference bitmap holds AND NOT its parents' bitmap. Surviving bits are decoded t
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEYS_PER_RANGE = 40_000
 SALTS = 16
 DAY_US = 86_400_000_000
 
@@ -74,13 +71,18 @@ class Bitmap:
         return sum(int(np.bitwise_count(x).sum()) if x.dtype == np.uint8 else len(x) for x in self.boxes.values())
 
 
+_FOUND = "space string, key string, period long, kind string, first_us long"
+
+
 def _find(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Orphans of one key range. kind 0: a reference per (key, period); kind 1: a parent, its period that of its arrival."""
-    cut = lambda keep, p, kind: pd.DataFrame({"space": pdf["space"].iloc[0], "key": names[keep], "period": p, "kind": kind})
+    """Orphans of one key range, each (key, period of the reference, kind) with the instant the parent first came."""
     names, code = np.unique(pdf["key"].to_numpy(str), return_inverse=True)
     is_ref, period = (pdf["role"] == 0).to_numpy(), pdf["period"].to_numpy()
+    came = np.zeros(len(names), np.int64)
+    came[code[~is_ref]] = pdf["first_us"].to_numpy()[~is_ref]
+    cut = lambda keep, p, kind: pd.DataFrame({"space": pdf["space"].iloc[0], "key": names[keep], "period": p, "kind": kind, "first_us": came[keep]})
     if not is_ref.any():
-        return pd.DataFrame({"space": [], "key": [], "period": [], "kind": []})
+        return cut(np.zeros(0, np.int64), 0, "").astype({"space": str, "kind": str})
     parent = Bitmap(code[~is_ref])
     deleted = Bitmap(code[~is_ref & pdf["deleted"].to_numpy(bool)])
     out, arrived = [], Bitmap()
@@ -99,7 +101,7 @@ def _find(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def orphan_references(
-    refs: DataFrame, parents: DataFrame, *, keys_per_range: int = KEYS_PER_RANGE, period_us: int = DAY_US, salts: int = SALTS
+    refs: DataFrame, parents: DataFrame, *, ranges: int | None = None, period_us: int = DAY_US, salts: int = SALTS
 ) -> DataFrame:
     """Each orphan reference with its kind: missing, deleted or late, the first that holds.
 
@@ -108,7 +110,8 @@ def orphan_references(
     null key is no reference; a null us of a reference is never late, a null us of a parent counts as
     earliest for arrival and oldest for deletion; a null flag is false; among rows fetched at one
     instant a deletion wins. Repeated rows count once. Empty parents make every reference missing.
-    Returns (space, ref_id, us, kind).
+    Keys are cut into ``ranges`` by hash, by default four for each shuffle partition, whose number a
+    cluster sets by its data. Returns (space, ref_id, us, kind).
     """
     low = F.lit(-(2**62))
     refs = refs.where("key IS NOT NULL").select("space", "key", "ref_id", F.col("us").cast("long").alias("us"))
@@ -119,23 +122,14 @@ def orphan_references(
     )
     period = lambda c: F.floor(F.coalesce(c, F.lit(2**62)) / period_us).cast("long")
     seen = refs.select("space", "key", period(F.col("us")).alias("period")).distinct()
-    total = parents.select(F.count("*")).unionAll(refs.select(F.count("*"))).agg(F.sum("count(1)")).first()[0] or 0
-    ranges = max(1, math.ceil(total / keys_per_range))
-    rng = F.pmod(F.xxhash64("key"), F.lit(ranges))
-    rows = seen.select("space", "key", "period", F.lit(0).alias("role"), F.lit(False).alias("deleted")).unionByName(
-        state.select("space", "key", F.floor(F.col("first_us") / period_us).cast("long").alias("period"), F.lit(1).alias("role"), "deleted")
+    ranges = ranges or 4 * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = seen.select("space", "key", "period", F.lit(0).alias("role"), F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("first_us")).unionByName(
+        state.select("space", "key", F.floor(F.col("first_us") / period_us).cast("long").alias("period"), F.lit(1).alias("role"), "deleted", "first_us")
     )
-    found = rows.withColumn("range", rng).groupBy("space", "range").applyInPandas(lambda pdf: _find(pdf), "space string, key string, period long, kind string")
+    found = rows.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges))).groupBy("space", "range").applyInPandas(lambda pdf: _find(pdf), _FOUND)
     # Exact end: links of the surviving keys; inside one period the clock decides. A hot key's links are salted.
     salt = F.pmod(F.xxhash64("ref_id"), F.lit(salts))
     left = refs.withColumn("period", period(F.col("us"))).withColumn("salt", salt)
-    late_us = state.select("space", "key", "first_us")
-    keys = found.join(late_us, ["space", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    keys = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
     hit = left.join(keys, ["space", "key", "period", "salt"])
     return hit.where("kind <> 'late' OR first_us > us").select("space", "ref_id", "us", "kind").distinct()
-
-
-def orphan_report(found: DataFrame, tables: Column, period: Column) -> DataFrame:
-    """Number of orphan references per referenced table, period and kind."""
-    return found.groupBy(tables.alias("referenced_table"), period.alias("period"), F.col("kind").alias("orphan_kind")).agg(F.count("*").alias("n_references"))
-

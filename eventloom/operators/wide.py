@@ -1,7 +1,7 @@
 """Entity-attribute-value records into one typed row per entity.
 
-Names are resolved to slots and values to typed cells by column expressions; then an RDD
-``combineByKey`` keeps, per entity, a register of one cell per slot. Merging two cells keeps the later
+Names are resolved to slots and values to typed cells by column expressions; cells fold into registers,
+one cell per slot, and an RDD ``combineByKey`` merges the registers of an entity. Merging two cells keeps the later
 one, which is associative and commutative, so duplicates collapse on the map side and a hot entity
 never sends more than one register per map task.
 """
@@ -9,8 +9,10 @@ never sends more than one register per map task.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import pickle
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ FACTS = {
     "last_price": "integer", "yes_bid": "integer", "yes_ask": "integer", "can_close_early": "boolean", "expiration_date": "date",
 }
 FIRST_DAY, LAST_DAY = dt.date(2025, 6, 23), dt.date(2025, 7, 15)
-RECORDS_PER_TASK = 1_000_000
+FOLD_RECORDS = 500_000
 #: Texts that say nothing.
 BLANKS = ["", "-", "--", "null", "none", "nan", "nat", "n/a", "na", "#n/a"]
 
@@ -52,22 +54,17 @@ def _between(c: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
-def resolve_name(name: Column) -> Column:
-    """The wide table's column that a freely spelled name, in lower case, means, or null.
+def resolve_slot(name: Column, first: dt.date = FIRST_DAY, last: dt.date = LAST_DAY) -> Column:
+    """Place in layout() of the column that a freely spelled name, in lower case, means, or null.
 
     Letter case, separators and missing zero padding make no difference.
     """
-    low = name
-    bare = F.regexp_replace(low, r"[^a-z0-9]", "")
-    facts = F.create_map(*[F.lit(x) for c in FACTS for x in (c.replace("_", ""), c)])
+    facts = F.create_map(*[F.lit(x) for i, c in enumerate(FACTS) for x in (c.replace("_", ""), i)])
     sep = "[^a-z0-9]*"
     pat = rf"^{sep}yes{sep}(20\d\d)(?:[^a-z0-9]+(\d{{1,2}})[^a-z0-9]+(\d{{1,2}})|(\d\d)(\d\d)){sep}(open{sep}0500|close{sep}1700){sep}pt{sep}$"
-    month = F.coalesce(_between(low, pat, 2), _between(low, pat, 4))
-    day = F.coalesce(_between(low, pat, 3), _between(low, pat, 5))
-    tag = F.when(_between(low, pat, 6).startswith("open"), "open_0500").otherwise("close_1700")
-    price = F.concat_ws("_", F.lit("yes"), _between(low, pat, 1), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"), tag, F.lit("PT"))
-    known = F.array(*map(F.lit, price_columns()))
-    return F.when(low.rlike(pat), F.when(F.array_contains(known, price), price)).otherwise(facts[bare])
+    day = F.split_part(F.regexp_replace(name, pat, "$1-$2$4-$3$5|$6"), F.lit("|"), F.lit(1)).try_cast("date")
+    slot = len(FACTS) + 2 * F.datediff(day, F.lit(first)) + F.when(F.contains(name, F.lit("close")), 1).otherwise(0)
+    return F.when(name.rlike(pat), F.when(day.between(first, last), slot)).otherwise(facts[F.regexp_replace(name, "[^a-z0-9]", "")])
 
 
 def _digits(text: Column) -> Column:
@@ -127,32 +124,47 @@ def typed_cell(kind: Column, value: Column) -> Column:
     return F.when(t.isNotNull() & ~low.isin(*BLANKS), cell)
 
 
-@dataclass(frozen=True)
 class Registers:
     """The associative cell mergers: a register maps slot -> (recorded_at, raw_id, cell)."""
 
     @staticmethod
-    def create(v: tuple) -> dict:
-        return {v[0]: v[1:]}
-
-    @staticmethod
-    def add(reg: dict, v: tuple) -> dict:
-        old = reg.get(v[0])
-        if old is None or v[1:] > old:
-            reg[v[0]] = v[1:]
-        return reg
+    def put(reg: dict, slot: int, cell: tuple) -> None:
+        old = reg.get(slot)
+        if old is None or cell > old:
+            reg[slot] = cell
 
     @staticmethod
     def merge(a: dict, b: dict) -> dict:
         if len(a) < len(b):
             a, b = b, a
         for slot, cell in b.items():
-            old = a.get(slot)
-            if old is None or cell > old:
-                a[slot] = cell
+            Registers.put(a, slot, cell)
         return a
 
 
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ticker, register) of a stretch of cells, so that one object per ticker leaves a task instead of one per record."""
+    regs: dict[str, dict] = {}
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(regs), pa.string()), pa.array([pickle.dumps(r, 5) for r in regs.values()], pa.binary())], names=["ticker", "reg"])
+
+    for b in batches:
+        for ticker, slot, us, raw, cell in zip(*(c.to_pylist() for c in b.columns)):
+            reg = regs.get(ticker)
+            if reg is None:
+                reg = regs[ticker] = {}
+            Registers.put(reg, slot, (us, raw, cell))
+        held += b.num_rows
+        if held >= FOLD_RECORDS:
+            yield flush()
+            regs.clear()
+            held = 0
+    if regs:
+        yield flush()
+
+
 def _encoder(names: list[str], kinds: list[str]):
     def number(kind: str, cell: str):
         if kind == "integer":
@@ -182,23 +194,22 @@ def to_wide(records: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = records.sparkSession
     cols = layout()
-    names, kinds = list(cols), list(cols.values())
-    slots = F.create_map(*[F.lit(x) for i, c in enumerate(names) for x in (c, i)])
-    kind_of = F.create_map(*[F.lit(x) for c, k in cols.items() for x in (c, k)])
+    kinds = list(cols.values())
     low = -(2**62)
     picked = records.select(
         proper_ticker(F.col("ticker")).alias("ticker"), F.lower("attr_name").alias("spelled"), F.col("attr_value").alias("value"),
         F.coalesce(F.unix_micros(F.col("recorded_at").cast("timestamp")), F.lit(low)).alias("us"), F.coalesce(F.col("raw_id").cast("long"), F.lit(low)).alias("raw"),
     )
-    named = computed_once(picked.where("ticker <> '' AND value IS NOT NULL"), name=resolve_name(F.col("spelled"))).where("name IS NOT NULL")
-    tidy = computed_once(named, slot=slots[F.col("name")], kind=kind_of[F.col("name")], text=F.regexp_replace("value", OUTER, ""))
+    named = computed_once(picked.where("ticker <> '' AND value IS NOT NULL"), slot=resolve_slot(F.col("spelled"))).where("slot IS NOT NULL")
+    kind_of = F.when(F.col("slot") >= len(FACTS), "price").otherwise(F.get(F.array(*[F.lit(k) for k in FACTS.values()]), F.col("slot")))
+    tidy = computed_once(named, kind=kind_of, text=F.regexp_replace("value", OUTER, ""))
     cells = computed_once(tidy, cell=typed_cell(F.col("kind"), F.col("text"))).where("cell IS NOT NULL").select("ticker", "slot", "us", "raw", "cell")
-    # nothing coalesces or splits an RDD's shuffle at run time, so its width follows the number of records
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), records.select("ticker").count() // RECORDS_PER_TASK)
-    pairs = cells.rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4])))
-    rows = pairs.combineByKey(Registers.create, Registers.add, Registers.merge, n).map(_encoder(names, kinds))
+    # nothing coalesces or splits an RDD's shuffle at run time: its width is what the cluster sets for all shuffles
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = cells.mapInArrow(_fold, "ticker string, reg binary").rdd.map(lambda r: (r[0], pickle.loads(r[1])))
+    rows = pairs.combineByKey(lambda reg: reg, Registers.merge, Registers.merge, n).map(_encoder(list(cols), kinds))
     schema = T.StructType([T.StructField("ticker", T.StringType())] + [T.StructField(c, KINDS[k]) for c, k in cols.items()])
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, schema, verifySchema=False)
 
 
 def melt(wide: DataFrame) -> DataFrame:

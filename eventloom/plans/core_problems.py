@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions.hexid import canonical_hex
 from eventloom.operators.instants import PACIFIC, UTC, named_instants, with_instant
-from eventloom.operators.orphans import orphan_references
+from eventloom.operators.orphans import orphan_references, orphan_report
 from eventloom.operators.wide import melt, to_wide
 from eventloom.sources import table
 
@@ -28,20 +28,23 @@ def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_wide(table(spark, sf_dir, "k_attributes"))
 
 
+def _instant_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four fields as one relation, so that they are read into instants in one pass."""
+    out = None
+    for t, i, f, z in INSTANT_FIELDS:
+        one = table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), F.col(i).alias("row_id"), F.lit(f).alias("field_name"), F.col(f).alias("text"), F.lit(z).alias("zone"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [named_instants(table(spark, sf_dir, t), t, i, f, z) for t, i, f, z in INSTANT_FIELDS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return named_instants(_instant_texts(spark, sf_dir))
 
 
 def p4_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts of each field are readable, ambiguous, nonexistent, blank or unreadable."""
-    out = None
-    for t, i, f, z in INSTANT_FIELDS:
-        rows = table(spark, sf_dir, t).select(F.col(i).alias("row_id"), F.col(f).alias("text")).distinct()
-        one = with_instant(rows, F.col("text"), z).groupBy("instant_state").agg(F.count("*").alias("n_rows"))
-        one = one.select(F.lit(t).alias("table_name"), F.lit(f).alias("field_name"), "instant_state", "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    texts = _instant_texts(spark, sf_dir).distinct()
+    return with_instant(texts, F.col("text"), F.col("zone")).groupBy("table_name", "field_name", "instant_state").agg(F.count("*").alias("n_rows"))
 
 
 def _link_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +68,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per referenced table, month of the link's _fetched_at and kind."""
     month = F.date_format(F.timestamp_micros("us"), "yyyy-MM")
     owner = F.when(F.col("space") == "condition_id", "pm_markets").otherwise("uma_event_timeline")
-    found = _link_orphans(spark, sf_dir).withColumns({"referenced_table": owner, "period": month})
-    return found.groupBy("referenced_table", "period", F.col("kind").alias("orphan_kind")).agg(F.count("*").alias("n_references"))
+    return orphan_report(_link_orphans(spark, sf_dir), owner, month)
 
 
 QUERIES = {"p2_found": p2_found, "p2_wide": p2_wide, "p4_found": p4_found, "p4_states": p4_states, "p5_found": p5_found, "p5_report": p5_report}

@@ -44,9 +44,9 @@ def test_wide_of_nothing(spark):
 def test_registers_merge_in_any_order():
     cells = [(0, 5, 1, "a"), (0, 5, 2, "b"), (1, 1, 1, "c"), (0, 4, 9, "d")]
     def fold(order):
-        reg = Registers.create(order[0])
-        for v in order[1:]:
-            reg = Registers.add(reg, v)
+        reg = {}
+        for slot, *cell in order:
+            Registers.put(reg, slot, tuple(cell))
         return reg
     whole = fold(cells)
     assert whole == fold(cells[::-1]) == Registers.merge(fold(cells[:2]), fold(cells[2:])) == Registers.merge(fold(cells[3:]), fold(cells[:3]))
@@ -65,6 +65,8 @@ TEXTS = [
     ("1741516200", UTC, 1741516200_000000), ("1741352400000 ", UTC, 1741352400_000000), ("1748873641622222", PACIFIC, 1748873641622222), ("1760267480.0", UTC, 1760267480_000000), ("1.756925674E9", UTC, 1756925674_000000), ("0x67664257", UTC, 0x67664257 * 1_000_000),
     ("2024-11-03T02:40:58.426396639Z", PACIFIC, us(2024, 11, 3, 2, 40, 58, 426396)), ("2025-02-02 16:02:46.581125", PACIFIC, us(2025, 2, 3, 0, 2, 46, 581125)), ("11/3/2024 12:01 AM PT", PACIFIC, us(2024, 11, 3, 7, 1)),
     ("2025-01-17 04:11:55 EST", UTC, us(2025, 1, 17, 9, 11, 55)), ("\t2025-09-17 05:00:00-07:00\n", PACIFIC, us(2025, 9, 17, 12)), ("2025-02-02", UTC, us(2025, 2, 2)),
+    ("2044-05-01 05:00:00", UTC, us(2044, 5, 1, 5)), ("1985-05-01 05:00:00", UTC, us(1985, 5, 1, 5)), ("1985-05-01 05:00:00", PACIFIC, us(1985, 5, 1, 5, zone=PACIFIC)), ("2044-07-01 05:00 ET", UTC, us(2044, 7, 1, 5, zone="America/New_York")),
+    ("2163-07-01 05:00:00", PACIFIC, us(2163, 7, 1, 5, zone=PACIFIC)), ("2400-02-29 05:00:00", PACIFIC, us(2400, 2, 29, 5, zone=PACIFIC)), ("1890-02-28 05:00:00", "Europe/Berlin", us(1890, 2, 28, 5) - 3208 * 10**6), ("1925-07-01 05:00:00", "Europe/London", us(1925, 7, 1, 4)),
 ]
 BAD = [("2024-11-03 01:30:00", PACIFIC, "ambiguous"), ("2025-03-09 02:30 PT", PACIFIC, "nonexistent"), ("pending", UTC, "unreadable"), ("0000-00-00 00:00:00", UTC, "unreadable"), ("2025-02-30 00:00:00", UTC, "unreadable"), (" ", UTC, "blank"), (None, UTC, "blank"), ("2025-01-01 25:00:00", UTC, "unreadable"), ("x" * 50_000, UTC, "unreadable")]
 
@@ -102,7 +104,7 @@ def test_orphans(spark):
     refs = [("c", "a", 1, 5 * day, "x"), ("c", "b", 2, 5 * day, "x"), ("c", "d", 3, 5 * day, "x"), ("c", "e", 4, 5 * day + 10, "x"), ("c", "e", 5, 5 * day + 30, "x"), ("c", None, 6, day, "x"), ("c", "b", 7, None, "x"), ("r", "b", 8, 9 * day, "x"), ("c", "a", 1, 5 * day, "x"), ("c", "d", 9, 8 * day, "x")]
     parents = [("c", "b", day, False, "y"), ("c", "b", 2 * day, True, "y"), ("c", "d", 7 * day, None, "y"), ("c", "e", 5 * day + 20, False, "y"), ("c", "e", 6 * day, False, "y"), ("c", None, day, False, "y")]
     want = {("c", 1, "missing"), ("c", 2, "deleted"), ("c", 7, "deleted"), ("c", 3, "late"), ("c", 4, "late"), ("r", 8, "missing")}
-    assert orphans(spark, refs, parents) == want == orphans(spark, refs, parents, keys_per_range=1, salts=3)
+    assert orphans(spark, refs, parents) == want == orphans(spark, refs, parents, ranges=50, salts=3)
     assert orphans(spark, refs, []) == {(s, i, "missing") for s, k, i, _, _ in refs if k}
     assert orphans(spark, [], parents) == set()
 
