@@ -50,11 +50,9 @@ def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_spans(_passages(spark, sf_dir))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    topic = F.regexp_extract(F.upper(F.trim("event_ticker")), "^KX([A-Z]+)", 1)
-    return mixture(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), lang=F.col("lang"), topic=F.substring(topic, 1, 4)
-    )
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    series = F.regexp_extract(F.upper(F.trim("event_ticker")), "^KX([A-Z]+)", 1)
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), lang=F.col("lang"), topic=series)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +65,17 @@ def p7_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[0]
 
 
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of all tokens aimed at and reached by source, language and topic."""
+    return _mixture(spark, sf_dir)[2]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return document_subjects(d, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang"), source=F.col("source"), address=F.col("event_ticker"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_uses": p7_uses, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_uses": p7_uses, "p7_margins": p7_margins, "p8_found": p8_found}
 
 ORACLES = {
     "p1_found": """

@@ -137,10 +137,19 @@ def test_mixture(spark):
     rows = [(i, "word " * (10 + i % 7), " Big Press " if i % 2 else "forum", "en", "KXA") for i in range(400)] + [(900, None, "forum", "en", "KXA"), (901, " ", "forum", None, None), (902, "x", None, "en", ""), (1, "word " * 11, " Big Press ", "en", "KXA")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, topic string")
     t = spark.createDataFrame([("big_press", 0.7, 3), ("forum", 0.2, 1), ("none", 0.1, 2)], "source string, target_share double, max_repeats long")
-    uses, report = mixture(d, t, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), lang=F.col("lang"), topic=F.col("topic"))
+    uses, report, margins = mixture(d, t, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"), lang=F.col("lang"), topic=F.col("topic"))
     got = {r.source: r for r in report.collect()}
-    assert abs(got["big_press"].reached_share - 7 / 9) < 0.05 and got["none"].tokens_used == 0 and got["big_press"].most_copies <= 3 and got["forum"].most_copies <= 1
+    assert abs(got["big_press"].reached_share - 7 / 9) < 0.01 and got["none"].tokens_used == 0 and got["big_press"].most_copies <= 3 and got["forum"].most_copies <= 1
     assert uses.groupBy("doc_id").count().where("count > 1").count() == 0
+    shares = {(r.margin, r.value): (r.aimed_share, r.reached_share) for r in margins.collect()}
+    assert {k for k, _ in shares} == {"source", "lang", "topic"} and shares["lang", "en"] == (1.0, 1.0) and abs(shares["source", "forum"][1] - 2 / 9) < 0.01
+
+
+def test_sources_reach_their_aims(spark):
+    got = queries.QUERIES["p7_mix"](spark, f"{ROOT}/sf0.01").collect()
+    whole = sum(r.target_share for r in got if r.tokens_used)
+    for r in got:
+        assert r.most_copies <= r.max_repeats and (not r.tokens_used or abs(r.reached_share - r.target_share / whole) < 0.02 * r.target_share), r
 
 
 def test_subjects(spark):
