@@ -1,15 +1,22 @@
 """Held-out items inside a training corpus.
 
-The corpus is read in shards of bounded size. Each shard becomes an FM-index over word numbers; every
-short phrase of every item is searched backwards in it, occurrences are located through sampled suffix
-positions, and occurrences of an item that lie along one diagonal of a document are aligned exactly,
-word by word. Overlapping stretches merge into removal spans.
+The corpus is read in shards of bounded size. A word that is an item's but for a slip of the keys gets that
+word's number, and each shard becomes an FM-index over word numbers; every short phrase of every item is
+searched backwards in it, occurrences are located through sampled suffix positions, and occurrences of an
+item that lie along one diagonal of a document are aligned exactly, word by word. Overlapping stretches
+merge into removal spans.
 
-Only the items are sent to every task; their number is fixed and checked, not that of the documents.
+No stretch that accepted() takes is lost by the search while its words keep their order: of L words (18 or more) at most
+0.22 L differ, which cuts the rest into at most 0.22 L + 1 runs, and runs of 0.78 L words in all hold at
+least 0.78 L - 2 (0.22 L + 1) = 0.34 L - 2, so 4 or more, whole phrases of three. REACH only limits how far beyond its
+outermost phrase a stretch's ends are followed; what lies further out could not have been needed to accept it.
+
+Only the items are sent to every task, in blocks of bounded size, each searched in a pass of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,25 +34,49 @@ SHARD_WORDS = 400_000
 BAND = 8
 REACH = 45
 SEEDS_NEEDED = 4
-MAX_ITEM_WORDS = 5_000_000
+HIT, TOLD = 0.78, 0.7
+#: Items are searched in blocks of about so many words, and a worker remembers so many words' numbers.
+BLOCK_WORDS = 200_000
+CACHE_WORDS = 1_000_000
+
+
+def _less(w: str, k: int) -> set[str]:
+    """The word with up to k letters left out."""
+    out = {w}
+    for _ in range(k):
+        out |= {x[:i] + x[i + 1 :] for x in out for i in range(len(x))}
+    return out
+
+
+def _slips(w: str) -> int:
+    """How many slips of the keys a word may hold; see words.close."""
+    return 0 if len(w) < 4 or w.isdigit() else 2 if len(w) >= 9 else 1
 
 
 class Items:
-    """The held-out items: their words, which of them are telling, and all their phrases of SEED words."""
+    """The held-out items: their words, which of them are telling, and all their phrases of SEED words.
 
-    def __init__(self, rows: list[tuple[int, str | None]], seed: int = SEED):
+    common: the words that are not telling, where they were counted over more items than these.
+    """
+
+    def __init__(self, rows: list[tuple[int, str | None]], seed: int = SEED, common: set[str] | None = None):
         self.ids = [r[0] for r in rows]
         self.words = [words(r[1]) for r in rows]
-        if sum(map(len, self.words)) > MAX_ITEM_WORDS:
-            raise ValueError(f"items of more than {MAX_ITEM_WORDS} words must be searched in several calls")
         spread = Counter(w for ws in self.words for w in set(ws))
-        few = max(2, len(rows) // 50)
+        if common is None:
+            few = few_items(len(rows))
+            common = {w for w, n in spread.items() if n > few}
         #: names and figures: digits, and words that few items have
-        self.telling = [[w.isdigit() or spread[w] <= few for w in ws] for ws in self.words]
+        self.telling = [np.array([w.isdigit() or w not in common for w in ws], bool) for ws in self.words]
         self.number = {w: i + 2 for i, w in enumerate(sorted(spread))}
+        self.code = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
+        self.lacking: dict[str, list[str]] = {}
+        for w in self.number:
+            for x in _less(w, _slips(w)) if _slips(w) else ():
+                self.lacking.setdefault(x, []).append(w)
+        self.cache: dict[str, tuple[int, ...]] = {}
         seeds, item, place = [], [], []
-        for k, ws in enumerate(self.words):
-            code = [self.number[w] for w in ws]
+        for k, code in enumerate(self.code):
             for j in range(len(code) - seed + 1):
                 seeds.append(code[j : j + seed]), item.append(k), place.append(j)
         seeds = np.array(seeds, np.int64).reshape(-1, seed)
@@ -55,42 +86,46 @@ class Items:
         self.item, self.place = np.array(item, np.int64)[order], np.array(place, np.int64)[order]
         self.starts = np.searchsorted(inverse[order], np.arange(len(self.seeds) + 1))
 
+    def codes(self, w: str) -> tuple[int, ...]:
+        """Numbers of the item words that a word is, first the one it is searched as: itself, or the first of those it is but for a slip; (1,) for none."""
+        got = self.cache.get(w)
+        if got is None:
+            if len(self.cache) > CACHE_WORDS:
+                self.cache.clear()
+            near: set[str] = set()
+            if k := _slips(w):
+                for x in _less(w, k):
+                    near.update(v for v in self.lacking.get(x, ()) if v != w and close(v, w))
+            mine = self.number.get(w)
+            got = self.cache[w] = (*([mine] if mine else []), *sorted(self.number[v] for v in near)) or (1,)
+        return got
 
-def _twins(item: list[str], doc: list[str]) -> dict[str, set[str]]:
-    """Per item word the document words that are it, or it but for a slip."""
-    long_ = [d for d in set(doc) if len(d) >= 4 and not d.isdigit()]
-    out = {}
-    for w in set(item):
-        same = {w}
-        n = len(w)
-        if n >= 4 and not w.isdigit():
-            a, z = w[:2], w[-2:]
-            same.update(d for d in long_ if (d[:2] == a or d[-2:] == z) and -3 < len(d) - n < 3 and d != w and close(w, d))
-        out[w] = same
-    return out
 
+def few_items(n: int) -> int:
+    """A word is telling in at most so many of n items."""
+    return max(2, n // 50)
 
-def align(item: list[str], telling: list[bool], doc: list[str], low: int | None = None, high: int | None = None) -> tuple[int, int, int, int, int, int, int]:
+
+def align(same: np.ndarray, telling: np.ndarray, low: int | None = None, high: int | None = None) -> tuple[int, int, int, int, int, int, int]:
     """Best local alignment: item range, document range, matched words, telling words in range and matched.
 
-    A telling word that differs costs more than a common one, so a passage of the same build with other
-    names and figures falls apart into short pieces. low and high bound the diagonals (document place
-    less item place) that are looked at.
+    same[i, j]: whether document word j is item word i, or it but for a slip. A telling word that differs
+    costs more than a common one, so a passage of the same build with other names and figures falls apart
+    into short pieces. low and high bound the diagonals (document place less item place) that are looked at.
     """
-    n, m = len(item), len(doc)
+    n, m = same.shape
     low, high = -n if low is None else low, m if high is None else high
     score, start = [0.0] * (m + 1), [(0, 0, 0)] * (m + 1)
     best, best_at = 0.0, None
-    twins = _twins(item, doc)
+    told_at = telling.tolist()
     for i in range(1, n + 1):
-        w = item[i - 1]
-        same_as = twins[w]
-        miss, skip = (-3.0, -2.0) if telling[i - 1] else (-1.0, -0.8)
+        row = same[i - 1].tolist()
+        miss, skip = (-3.0, -2.0) if told_at[i - 1] else (-1.0, -0.8)
         new, new_start = [0.0] * (m + 1), [(0, 0, 0)] * (m + 1)
         left, left_o = 0.0, (0, 0, 0)
         for j in range(max(1, i + low), min(m, i + high) + 1):
             was = score[j - 1]
-            if doc[j - 1] in same_as:
+            if row[j - 1]:
                 o = start[j - 1] if was > 0.0 else (i - 1, j - 1, 0)
                 s, o = was + 1.0, (o[0], o[1], o[2] + 1)
             else:
@@ -110,35 +145,49 @@ def align(item: list[str], telling: list[bool], doc: list[str], low: int | None
     if best_at is None:
         return 0, 0, 0, 0, 0, 0, 0
     i0, i1, j0, j1, hit = best_at
-    told = sum(telling[i0:i1])
-    here = Counter(doc[j0:j1])
-    found = 0
-    for w, t in zip(item[i0:i1], telling[i0:i1]):
-        twin = t and next((d for d in (w, *twins[w]) if here[d] > 0), None)
-        if twin:
-            here[twin] -= 1
+    at = np.flatnonzero(telling[i0:i1]) + i0
+    free, found = np.ones(j1 - j0, bool), 0
+    for i in at.tolist():
+        j = np.flatnonzero(same[i, j0:j1] & free)
+        if len(j):
+            free[j[0]] = False
             found += 1
-    return i0, i1, j0, j1, hit, told, found
+    return i0, i1, j0, j1, hit, len(at), found
 
 
 def accepted(i0: int, i1: int, hit: int, told: int, found: int, stretch: int = STRETCH) -> bool:
     """A stretch of the item's words, most of them there, telling ones included."""
-    return i1 - i0 >= stretch and hit >= 0.78 * (i1 - i0) and found >= 0.7 * told
+    return i1 - i0 >= stretch and hit >= HIT * (i1 - i0) and found >= TOLD * told
+
+
+def may_hold(met: np.ndarray, telling: np.ndarray, stretch: int) -> bool:
+    """Whether any stretch of the item could be accepted if all of its words that were met anywhere in the band stood in order.
+
+    A bound: what accepted() takes always passes.
+    """
+    n = len(met)
+    if n < stretch:
+        return False
+    if n > 2000:
+        return True
+    a = np.r_[0.0, np.cumsum(met - HIT)]
+    b = np.r_[0.0, np.cumsum(telling * (met - TOLD))]
+    last, first = np.arange(stretch, n + 1)[:, None], np.arange(n - stretch + 1)[None, :]
+    return bool(((last - first >= stretch) & (a[last] - a[first] >= -1e-9) & (b[last] - b[first] >= -1e-9)).any())
 
 
 def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) -> list[tuple[int, int, int, int, int, int]]:
     """(document, item, first and last word in the document, first and last word in the item) of every leak in a shard."""
-    number = items.number
-    code, doc_of, place = [], [], []
-    for k, ws in enumerate(docs):
-        was = 1
-        for j, w in enumerate(ws):
-            c = number.get(w, 1)
-            if c != 1 or was != 1:
-                code.append(c), doc_of.append(k), place.append(j)
-            was = c
-        code.append(1), doc_of.append(k), place.append(len(ws))
-    index = FMIndex(np.array([*code, 0], np.int64))
+    known = items.cache.get
+    all_codes = [[known(w) or items.codes(w) for w in ws] for ws in docs]
+    flat = np.array([c[0] for cs in all_codes for c in (*cs, (1,))], np.int64)
+    size = np.array([len(cs) + 1 for cs in all_codes])
+    # of a run of words that no item has, one is enough to keep its neighbours apart
+    keep = np.flatnonzero((flat != 1) | (np.r_[0, flat[:-1]] != 1))
+    doc_of = np.repeat(np.arange(len(docs)), size)[keep]
+    place = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))[keep]
+    code = flat[keep]
+    index = FMIndex(np.r_[code, 0])
     lo, hi = index.search(items.seeds)
     size = hi - lo
     if not size.any():
@@ -150,7 +199,7 @@ def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) ->
     fan = items.starts[seed + 1] - items.starts[seed]
     use = np.repeat(items.starts[seed] - np.r_[0, np.cumsum(fan)[:-1]], fan) + np.arange(fan.sum())
     at = np.repeat(at, fan)
-    d, p = np.array(doc_of)[at], np.array(place)[at]
+    d, p = doc_of[at], place[at]
     it, ip = items.item[use], items.place[use]
     diag = p - ip
     order = np.lexsort((p, diag, it, d))
@@ -159,47 +208,55 @@ def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) ->
     if len(d) <= k:
         return []
     near = np.flatnonzero((d[k:] == d[:-k]) & (it[k:] == it[:-k]) & (diag[k:] - diag[:-k] <= BAND))
-    inside = np.zeros(len(d) + 1, np.int64)
-    np.add.at(inside, near, 1)
-    np.add.at(inside, near + k + 1, -1)
-    hit = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+    inside = np.bincount(near, minlength=len(d) + 1) - np.bincount(near + k + 1, minlength=len(d) + 1)
+    hit = np.flatnonzero(np.cumsum(inside[: len(d)]) > 0)
     if not len(hit):
         return []
     d, it, p, ip, diag = d[hit], it[hit], p[hit], ip[hit], diag[hit]
     cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (diag[1:] - diag[:-1] > BAND)])
     out: list[tuple] = []
-    width = items.seeds.shape[1]
-    for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(d)]):
-        covered = {q + e for q in ip[x:y].tolist() for e in range(width)}
-        if 2 * len(covered) < stretch - 4:
-            continue
-        doc, item = int(d[x]), int(it[x])
-        ws, iw = docs[doc], items.words[item]
-        first, last = max(0, int(p[x:y].min()) - REACH), min(len(ws), int(p[x:y].max()) + REACH)
-        i_first, i_last = max(0, int(ip[x:y].min()) - REACH), min(len(iw), int(ip[x:y].max()) + REACH)
-        out += stretches(items, doc, item, ws, first, last, i_first, i_last, int(diag[x]) - 2 * BAND, int(diag[y - 1]) + 2 * BAND, stretch)
+    ends = np.r_[cut[1:], len(d)]
+    spans = zip(d[cut].tolist(), it[cut].tolist(), *(f.reduceat(x, cut).tolist() for f, x in ((np.minimum, p), (np.maximum, p), (np.minimum, ip), (np.maximum, ip))), diag[cut].tolist(), diag[ends - 1].tolist())
+    for doc, item, p0, p1, i0, i1, low, high in spans:
+        ws, iw = all_codes[doc], items.code[item]
+        first, last = max(0, p0 - REACH), min(len(ws), p1 + REACH)
+        i_first, i_last = max(0, i0 - REACH), min(len(iw), i1 + REACH)
+        same = _same(iw[i_first:i_last], ws[first:last])
+        band = np.arange(first, last)[None, :] - np.arange(i_first, i_last)[:, None]
+        same &= (band >= low - 2 * BAND) & (band <= high + 2 * BAND)
+        tell = items.telling[item][i_first:i_last]
+        if may_hold(same.any(1), tell, stretch):
+            out += [(doc, item, first + a, first + b, i_first + x, i_first + y) for a, b, x, y in stretches(same, tell, low - 2 * BAND + i_first - first, high + 2 * BAND + i_first - first, stretch)]
     return list(set(out))
 
 
-def stretches(items: Items, doc: int, item: int, ws: list[str], first: int, last: int, i_first: int, i_last: int, low: int, high: int, stretch: int) -> list[tuple]:
-    """Accepted alignments in ws[first:last]; the parts before and after one are searched again."""
-    todo, out = [(first, last)], []
-    iw, tell = items.words[item][i_first:i_last], items.telling[item][i_first:i_last]
+def _same(item: np.ndarray, doc: list[tuple[int, ...]]) -> np.ndarray:
+    """same[i, j]: whether document word j is item word i or it but for a slip."""
+    same = item[:, None] == np.array([c[0] for c in doc])[None, :]
+    for j, c in enumerate(doc):
+        for other in c[1:]:
+            same[:, j] |= item == other
+    return same
+
+
+def stretches(same: np.ndarray, telling: np.ndarray, low: int, high: int, stretch: int) -> list[tuple[int, int, int, int]]:
+    """(document range, item range) of the accepted alignments; the parts before and after one are searched again."""
+    todo, out = [(0, same.shape[1])], []
     while todo:
         a, b = todo.pop()
-        if b - a < stretch // 2:
+        if b - a < stretch // 2 or not may_hold(same[:, a:b].any(1), telling, stretch):
             continue
-        i0, i1, j0, j1, hit, told, found = align(iw, tell, ws[a:b], low + i_first - a, high + i_first - a)
-        if i1 - i0 < stretch:
+        i0, i1, j0, j1, hit, told, found = align(same[:, a:b], telling, low - a, high - a)
+        if i1 - i0 < stretch // 2:
             continue
         if accepted(i0, i1, hit, told, found, stretch):
-            out.append((doc, item, a + j0, a + j1, i_first + i0, i_first + i1))
+            out.append((a + j0, a + j1, i0, i1))
         todo += [(a, a + j0), (a + j1, b)]
     return out
 
 
 def leaked_passages(
-    documents: DataFrame, held_out: DataFrame, *, doc_id: Column, text: Column, item_id: Column, item_text: Column, stretch: int = STRETCH, shard_words: int = SHARD_WORDS
+    documents: DataFrame, held_out: DataFrame, *, doc_id: Column, text: Column, item_id: Column, item_text: Column, stretch: int = STRETCH, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, item_first, item_last): every stretch of an item in a document.
 
@@ -208,8 +265,30 @@ def leaked_passages(
     shorter than a stretch can't leak; a document or item row that comes twice gives its rows once;
     empty tables give no rows. Whole texts are read; documents are never gathered anywhere.
     """
-    items = Items([tuple(r) for r in held_out.select(item_id.cast("long"), item_text).dropna().distinct().collect()])
-    shared = documents.sparkSession.sparkContext.broadcast(items)
+    rows = held_out.select(item_id.cast("long").alias("item_id"), item_text.alias("text")).dropna().distinct()
+    n, n_words = rows.agg(F.count("*"), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
+    blocks = math.ceil(n_words / block_words)
+    if blocks > 1:
+        # words of more than one in fifty items are at most fifty times as many as an item has
+        common = {r[0] for r in rows.mapInArrow(_words_of, "w string").groupBy("w").count().where(F.col("count") > few_items(n)).select("w").collect()}
+        parts = [Items([tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()], common=common) for k in range(blocks)]
+    else:
+        parts = [Items([tuple(r) for r in rows.orderBy("item_id").collect()])]
+    texts = documents.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).dropna()
+    out = None
+    for items in parts:
+        one = _search(texts, items, stretch, shard_words)
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([w for t in b.column(1).to_pylist() for w in set(words(t))], pa.string())], names=["w"])
+
+
+def _search(texts: DataFrame, items: Items, stretch: int, shard_words: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(items)
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "first_word", "last_word", "item_first", "item_last")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +314,7 @@ def leaked_passages(
         if docs:
             yield flush()
 
-    out = documents.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).dropna().mapInArrow(run, "doc_id long, item_id long, first_word long, last_word long, item_first long, item_last long")
-    return out.distinct()
+    return texts.mapInArrow(run, "doc_id long, item_id long, first_word long, last_word long, item_first long, item_last long")
 
 
 def removal_spans(passages: DataFrame) -> DataFrame:
