@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.functions.plan import computed_once
+from eventloom.session import written
 
 #: The columns of the wide market table and the kind of each.
 FACTS = {
@@ -206,7 +207,9 @@ def to_wide(records: DataFrame, partitions: int | None = None) -> DataFrame:
     cells = computed_once(tidy, cell=typed_cell(F.col("kind"), F.col("text"))).where("cell IS NOT NULL").select("ticker", "slot", "us", "raw", "cell")
     # nothing coalesces or splits an RDD's shuffle at run time: its width is what the cluster sets for all shuffles
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cells.mapInArrow(_fold, "ticker string, reg binary").rdd.map(lambda r: (r[0], pickle.loads(r[1])))
+    # the registers are kept as a table: what the shuffle below loses with an executor is not read from the records again
+    folded, _ = written(cells.mapInArrow(_fold, "ticker string, reg binary"), "registers")
+    pairs = folded.rdd.map(lambda r: (r[0], pickle.loads(r[1])))
     rows = pairs.combineByKey(lambda reg: reg, Registers.merge, Registers.merge, n).map(_encoder(list(cols), kinds))
     schema = T.StructType([T.StructField("ticker", T.StringType())] + [T.StructField(c, KINDS[k]) for c, k in cols.items()])
     return spark.createDataFrame(rows, schema, verifySchema=False)

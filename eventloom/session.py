@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings every job relies on; anything the cluster already sets wins.
 DEFAULTS = {
@@ -50,3 +50,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(8).hex()}")
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Removes a folder made under scratch_path once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a table under the shared folder, and its path: computed once, and kept when an executor is lost."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
