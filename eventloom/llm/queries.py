@@ -72,7 +72,7 @@ def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return document_subjects(d, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang"), source=F.col("source"), address=F.col("event_ticker"))
+    return document_subjects(d, table(spark, sf_dir, "subject_areas"), doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang"), source=F.col("source"), address=F.col("event_ticker"))
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_links": p3_links, "p6_found": p6_found, "p6_spans": p6_spans, "p7_mix": p7_mix, "p7_uses": p7_uses, "p7_margins": p7_margins, "p8_found": p8_found}

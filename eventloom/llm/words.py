@@ -9,7 +9,7 @@ import unicodedata
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухікмтвнАЕОРСУХІКМТВНοαερικντυχ", "aeopcyxikmtbhAEOPCYXIKMTBHoaepikvtux")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|&nbsp;?|\\[nrt]", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|&nbsp;?|\\[nrt]", re.S)
 _BROKEN = re.compile("[ÃÂâ][\u0080-¿Œ-™€]{1,2}")
 _WORD = re.compile(r"[^\W_]+")
 _SPLIT_WORD = re.compile(r"(?<=[a-z])-\s*\n\s*(?=[a-z])")
@@ -28,12 +28,15 @@ def _mend(m: re.Match) -> str:
 
 def plain(text: str) -> str:
     """Lower case without marks, tags, entities, hidden characters and look-alikes."""
-    t = _BROKEN.sub(_mend, text)
-    t = _HIDDEN.sub("", t)
+    t = text
+    if not t.isascii():
+        t = _HIDDEN.sub("", _BROKEN.sub(_mend, t))
     if "&" in t:
         t = html.unescape(t)
-    t = _TAG.sub(" ", t)
-    t = _SPLIT_WORD.sub("", t)
+    if "<" in t or "&" in t or "\\" in t:
+        t = _TAG.sub(" ", t)
+    if "\n" in t:
+        t = _SPLIT_WORD.sub("", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t.translate(LOOKALIKES))
         t = "".join(c for c in t if not unicodedata.combining(c))

@@ -194,19 +194,26 @@ def test_sources_reach_their_aims(spark):
         assert r.most_copies <= r.max_repeats and (not r.tokens_used or abs(r.reached_share - r.target_share / whole) < 0.02 * r.target_share), r
 
 
+AREAS = [(n, None) for n in ("law", "sports", "climate", "science")] + [("general", "nothing else"), (None, "x")]
+
+
+def subjects(spark, d, areas=AREAS, **kw):
+    c = F.col
+    return document_subjects(d, spark.createDataFrame(areas, "subject string, description string"), doc_id=c("doc_id"), text=c("text"), lang=c("lang"), source=c("source"), address=c("subject"), **kw)
+
+
 def test_subjects(spark):
     law = "The magistrate enjoined the indictment after the deposition. "
     sport = "The goalkeeper benched the championship squad before the playoff. "
     stock = "The comment section is the real jury here. "
     rows = [(i, (law if i % 2 else sport) * 4 + stock, "en", "news", "KXA") for i in range(60)] + [(100, stock * 3, "en", None, None), (101, None, "en", None, None), (102, "  ", None, "news", "KXA"), (103, law * 4 + sport, "en", "news", "KXA"), (104, law * 6 + sport, "en", "news", "KXA")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
-    c = F.col
     got: dict = {}
-    for r in document_subjects(d, doc_id=c("doc_id"), text=c("text"), lang=c("lang"), source=c("source"), address=c("subject"), stock_share=0.9).collect():
+    for r in subjects(spark, d, stock_share=0.9).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert got[1] == {"law"} and got[2] == {"sports"} and 101 not in got and 102 not in got
     assert got[103] == {"law", "sports"} and got[104] == {"law"} and got[100] == {"general"}
-    assert document_subjects(d.limit(0), doc_id=c("doc_id"), text=c("text"), lang=c("lang"), source=c("source"), address=c("subject")).count() == 0
+    assert subjects(spark, d.limit(0)).count() == 0
 
 
 def test_copies_and_small_languages_are_not_stock(spark):
@@ -217,9 +224,8 @@ def test_copies_and_small_languages_are_not_stock(spark):
     small = [(300 + i, sport * (i + 1), None, "news", "KXC") for i in range(3)]
     more = [(310 + i, sport * 2 + f"Word {x} came late. ", "en", "news", "KXC") for i, x in enumerate(("uvw", "vwx", "wxy"))]
     d = spark.createDataFrame(fill + copies + small + more, "doc_id long, text string, lang string, source string, subject string")
-    c = F.col
     got: dict = {}
-    for r in document_subjects(d, doc_id=c("doc_id"), text=c("text"), lang=c("lang"), source=c("source"), address=c("subject")).collect():
+    for r in subjects(spark, d).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert all(got[i] == {"law"} for i in range(200, 250))
     assert all(got[i] == {"sports"} for i in (300, 301, 302, 310, 311, 312))
@@ -238,3 +244,23 @@ def test_frequent_and_short_names_meet(spark):
     R = spark.createDataFrame([*many, ("2", "exit|2026||", "donald trump"), ("4", "exit|2026||", "trump"), ("6", "exit|2027||", "l wu")], "id string, frame string, names string")
     got = {(x.left_id, x.right_id) for x in link_markets(L, R).collect() if x.left_id[0] != "x"}
     assert got == {("1", "2"), ("3", "4"), ("5", "6")}
+
+
+def test_a_new_area_is_read_from_the_table(spark):
+    rows = [(i, f"The {'violin orchestra' if i % 2 else 'magistrate deposition'} of number {'abcdef'[i % 6]} was praised. ", "en", "news", "KXA" if i % 2 else "KXB") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
+    got = {r.doc_id: r.subject for r in subjects(spark, d, [*AREAS, ("concerts", "violin and orchestra evenings")], stock_share=0.99).collect()}
+    assert got[1] == "concerts" and got[2] == "law"
+
+
+def test_subjects_agree_with_hand_labels(spark):
+    """Hand labels are partly wrong and incomplete: nine in ten of a document's agreed labels are among its subjects."""
+    sf = f"{ROOT}/sf0.01"
+    got: dict = {}
+    for r in queries.QUERIES["p8_found"](spark, sf).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    labels: dict = {}
+    for r in spark.read.parquet(f"{sf}/doc_labels.parquet").where("doc_id IS NOT NULL AND subject IS NOT NULL").collect():
+        labels.setdefault(r.doc_id, set()).add(r.subject.strip().lower())
+    pairs = [(d, x) for d, xs in labels.items() for x in xs if d in got]
+    assert len(pairs) > 50 and sum(x in got[d] for d, x in pairs) >= 0.8 * len(pairs)
