@@ -23,12 +23,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("left_id").alias("target_id"), F.col("right_id").alias("trade_id"))
 
 
+def _evidence(spark: SparkSession, sf_dir: str, exchange: str, ident, days: DataFrame) -> DataFrame:
+    """(id, contract_key, entity_signature, day) of a venue's markets: an earlier parser's keys, and the day trading ends."""
+    c = table(spark, sf_dir, "contract_canonical_markets").where(F.lower(F.trim("exchange")) == exchange).select(ident.alias("id"), "contract_key", "entity_signature")
+    return c.unionByName(days.where("id IS NOT NULL AND day IS NOT NULL"), allowMissingColumns=True).distinct()
+
+
 def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of markets that settle on the same thing, each with its confidence."""
     p, k = table(spark, sf_dir, "pm_markets"), table(spark, sf_dir, "k_topics")
+    ticker = proper_ticker(F.col("ticker"))
     left = frames(p, F.col("id"), F.col("question"), F.lit(None).cast("string"), F.col("_fetched_at"))
-    right = frames(k, proper_ticker(F.col("ticker")), F.col("title"), F.col("yes_sub_title"), F.col("_fetched_at"))
-    return link_markets(left, right).select(F.col("left_id").alias("pm_id"), F.col("right_id").alias("k_ticker"), "confidence")
+    right = frames(k, ticker, F.col("title"), F.col("yes_sub_title"), F.col("_fetched_at"))
+    said_l = _evidence(spark, sf_dir, "polymarket", F.col("market_id"), p.select("id", F.to_date("end_date").alias("day")))
+    said_r = _evidence(spark, sf_dir, "kalshi", proper_ticker(F.col("market_id")), k.select(ticker.alias("id"), F.to_date("close_time").alias("day")))
+    return link_markets(left, right, said_l, said_r).select(F.col("left_id").alias("pm_id"), F.col("right_id").alias("k_ticker"), "confidence", "residual")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,37 @@ def test_links(spark):
     assert link_markets(l.limit(0), r).count() == 0
 
 
+def test_links_do_not_hang_on_the_number_of_markets(spark):
+    now = dt.datetime(2025, 1, 1)
+    rows = [("1", "Will Ann win the 2026 Golden Lantern?"), ("5", "Will Bo Karel be indicted in 2025?"), ("6", "Will Keldorrvanet release its rocket by May 31, 2026?")]
+    rows += [(f"x{i}", f"Will {'abcdefghij'[i % 10]}{'klmnop'[i // 10]}vesta Moru win the 2026 Golden Lantern?") for i in range(60)]
+    K = spark.createDataFrame([("A", "Golden Lantern 2026 winner?", "Ann", now), ("E", "Bo Karel indicted?", "Before 2026", now), ("F", "When will Keldrovanet release its rocket?", "Before Jun 1, 2026", now)], "id string, q string, sub string, at timestamp")
+    P = spark.createDataFrame([(*x, now) for x in rows], "id string, q string, at timestamp")
+    got = link_markets(frames(P, F.col("id"), F.col("q"), F.lit(None).cast("string"), F.col("at")), frames(K, F.col("id"), F.col("q"), F.col("sub"), F.col("at"))).collect()
+    assert {(x.left_id, x.right_id) for x in got} == {("1", "A"), ("5", "E"), ("6", "F")}
+
+
+def test_solution_is_the_least_loss(spark):
+    """Two left classes of one right class, with a shared key, against a search of all values in steps."""
+    from eventloom.llm.linkage import W_EXCLUSIVE, W_KEY, W_LIKE, W_NOT, W_OTHER_KEY, W_SIM, agreement, solve
+
+    for sims, says in (((0.9, 0.6), (1, 0)), ((0.9, 0.9), (0, -1))):
+        a, b = "f#ann boru", "f#ann borus"
+        rows = [(a, "f#ann boru", sims[0], says[0], 0), (b, "f#ann boru", sims[1], says[1], 0)]
+        got = {r.l_class: (r.confidence, r.residual) for r in solve(spark.createDataFrame(rows, "l_class string, r_class string, sim double, key_says int, days_say int"), rounds=30).collect()}
+        near = sims[0] - sims[1] <= 0.15
+        alone = (1.0, 1.0)
+        shares = (0.5, 0.5) if near else (1.0, 1.0)
+        like = agreement("ann borus".split(), "ann boru".split())
+        x = np.arange(0, 1.0001, 0.005)
+        X, Y = np.meshgrid(x, x, indexing="ij")
+        loss = W_LIKE * np.maximum(0, like + X - 1 - Y) + W_EXCLUSIVE * np.maximum(0, shares[0] * X + shares[1] * Y - 1)
+        for v, s, k, own in ((X, sims[0], says[0], alone[0]), (Y, sims[1], says[1], alone[1])):
+            loss = loss + W_SIM * np.maximum(0, s - v) + W_NOT * np.maximum(0, v - s) + (W_KEY * np.maximum(0, 1 - v) if k == 1 else 0) + (W_OTHER_KEY * v if k == -1 else 0) + W_EXCLUSIVE * np.maximum(0, own * v - 1)
+        i, j = (round(200 * got[c][0]) for c in (a, b))
+        assert loss[i, j] <= loss.min() + 0.1 and max(r for _, r in got.values()) < 0.03, (sims, says, got)
+
+
 def test_rake_keeps_caps_and_shares():
     cells = np.random.default_rng(0).integers(1, 100, (4, 2, 3)).astype(float)
     cells[3] = 0
