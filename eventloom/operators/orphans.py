@@ -44,21 +44,26 @@ class Bitmap:
         bits[x] = True
         return bits
 
-    def _each(self, other: Bitmap, op) -> Bitmap:
+    def _each(self, other: Bitmap, op, sparse) -> Bitmap:
+        """op on packed boxes, sparse(x, y) where both are short arrays."""
         out = Bitmap()
+        none = np.zeros(0, np.uint16)
         for box, x in self.boxes.items():
-            y = other.boxes.get(box)
-            out._put(box, np.flatnonzero(op(self._bits(x), self._bits(y) if y is not None else np.zeros(65536, bool))).astype(np.uint16))
+            y = other.boxes.get(box, none)
+            if x.dtype == y.dtype == np.uint16:
+                out._put(box, sparse(x, y))
+            else:
+                out._put(box, np.flatnonzero(op(self._bits(x), self._bits(y))).astype(np.uint16))
         return out
 
     def and_not(self, other: Bitmap) -> Bitmap:
-        return self._each(other, lambda a, b: a & ~b)
+        return self._each(other, lambda a, b: a & ~b, lambda x, y: np.setdiff1d(x, y, assume_unique=True))
 
     def __and__(self, other: Bitmap) -> Bitmap:
-        return self._each(other, lambda a, b: a & b)
+        return self._each(other, lambda a, b: a & b, lambda x, y: np.intersect1d(x, y, assume_unique=True))
 
     def __or__(self, other: Bitmap) -> Bitmap:
-        out = self._each(other, lambda a, b: a | b)
+        out = self._each(other, lambda a, b: a | b, np.union1d)
         for box, y in other.boxes.items():
             out.boxes.setdefault(box, y)
         return out
@@ -110,7 +115,7 @@ def orphan_references(
     null key is no reference; a null us of a reference is never late, a null us of a parent counts as
     earliest for arrival and oldest for deletion; a null flag is false; among rows fetched at one
     instant a deletion wins. Repeated rows count once. Empty parents make every reference missing.
-    Keys are cut into ``ranges`` by hash, by default four for each shuffle partition, whose number a
+    Keys are cut into ``ranges`` by hash, by default as many as shuffle partitions, whose number a
     cluster sets by its data. Returns (space, ref_id, us, kind).
     """
     low = F.lit(-(2**62))
@@ -122,7 +127,7 @@ def orphan_references(
     )
     period = lambda c: F.floor(F.coalesce(c, F.lit(2**62)) / period_us).cast("long")
     seen = refs.select("space", "key", period(F.col("us")).alias("period")).distinct()
-    ranges = ranges or 4 * int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = seen.select("space", "key", "period", F.lit(0).alias("role"), F.lit(False).alias("deleted"), F.lit(0).cast("long").alias("first_us")).unionByName(
         state.select("space", "key", F.floor(F.col("first_us") / period_us).cast("long").alias("period"), F.lit(1).alias("role"), "deleted", "first_us")
     )
