@@ -44,3 +44,18 @@ def mismatch(names: list[str], left: str, right: str) -> Column:
     show = lambda c: F.when(F.coalesce(c, F.lit("")) == "", "<blank>").otherwise(c)
     parts = [F.when(F.coalesce(F.col(left + n), F.lit("")) != F.coalesce(F.col(right + n), F.lit("")), F.concat(F.lit(f"{n}_mismatch:"), show(F.col(left + n)), F.lit("!="), show(F.col(right + n)))) for n in names]
     return F.concat_ws("; ", *parts)
+
+
+def evidence(columns: list[str], pattern: str) -> Column:
+    """``name=value`` of the columns whose value the pattern is found in, joined by semicolons."""
+    return F.concat_ws("; ", *[F.when(F.col(c).rlike(pattern), F.concat(F.lit(f"{c}="), F.col(c))) for c in columns])
+
+
+def normalize_id(c: Column) -> Column:
+    """An id without the .0 that a passage through floats leaves."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
+def as_flag(c: Column) -> Column:
+    """Null stays null, true in any spelling is true, all else false."""
+    return F.when(c.isNotNull(), F.lower(F.trim(c.cast("string"))) == "true")

@@ -21,19 +21,38 @@ def cutoff_grid(spark: SparkSession, first: dt.date, last: dt.date, zone: str =
     return g.select(F.concat_ws("_", F.date_format("local_date", "yyyy_MM_dd"), F.col("t.tag")).alias("cutoff_label"), "local_date", at.alias("cutoff_utc"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tie: str, payload: list[str]) -> DataFrame:
+DAY_US = 86_400_000_000
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tie: str, payload: list[str], chunk: int = DAY_US) -> DataFrame:
     """Every left row with the latest right row of its key at or before its time, nulls where there is none.
 
-    One union, one shuffle, one sort. Among equal times the greatest tie-breaker wins; a right row with
-    null payload still wins over an older one. Right rows without key or time can never be latest.
+    Times are whole numbers (microseconds, for the default chunk). Among equal times the greatest
+    tie-breaker wins; a right row with null payload still wins over an older one. Right rows without key or
+    time can never be latest; a left row without key or time finds nothing.
+
+    A key's time is cut into chunks, so that a hot key is spread over as many windows as it has chunks. The
+    latest right row of each chunk, found by a map-side combine, is carried into the key's next chunks
+    that ask; these carried rows are one per key and chunk.
     """
     cols = [c for c in left.columns if c not in (key, left_time)]
-    r = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
-        F.col(key), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(tie).cast("string").alias("__tie"), F.struct(F.col(right_time).alias("__rt"), *payload).alias("__r"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols]
-    )
-    l = left.select(F.col(key), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast("string").alias("__tie"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), *cols)
-    w = Window.partitionBy(key).orderBy("__t", "__side", F.length("__tie"), "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    got = r.unionByName(l).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    at = lambda c: F.floor(F.col(c) / chunk).cast("long")
+    rank = F.struct(F.length(F.col(tie).cast("string")), F.col(tie).cast("string"))
+    r = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(F.col(key), at(right_time).alias("__chunk"), F.col(right_time).alias("__t"), rank.alias("__tie"), F.struct(F.col(right_time).alias("__rt"), *payload).alias("__r"))
+    l = left.select(F.col(key), at(left_time).alias("__chunk"), F.col(left_time).alias("__t"), *cols)
+    kind = r.schema["__r"].dataType
+    null_r = F.lit(None).cast(kind).alias("__r")
+    latest = r.groupBy(key, "__chunk").agg(F.max_by("__r", F.struct("__t", "__tie")).alias("__r"))
+    asked = l.select(key, "__chunk").distinct().select(key, "__chunk", null_r)
+    before = Window.partitionBy(key).orderBy("__chunk").rangeBetween(Window.unboundedPreceding, -1)
+    carried = latest.select(key, "__chunk", "__r", F.lit(False).alias("__asks")).unionByName(asked.withColumn("__asks", F.lit(True))).withColumn("__r", F.last("__r", ignorenulls=True).over(before)).where("__asks AND __r IS NOT NULL")
+    none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols]
+    no_tie = F.lit(None).cast(r.schema["__tie"].dataType).alias("__tie")
+    side = lambda df, n, t, tie_, r_, more: df.select(key, "__chunk", t.alias("__t"), F.lit(n).alias("__side"), tie_, r_, *more)
+    rows = side(r, 1, F.col("__t"), F.col("__tie"), F.col("__r"), none).unionByName(side(carried, 0, F.col("__chunk") * chunk, no_tie, F.col("__r"), none)).unionByName(side(l, 2, F.col("__t"), no_tie, null_r, cols))
+    # a carried row stands before all others of its chunk
+    w = Window.partitionBy(key, "__chunk").orderBy((F.col("__side") != 0).cast("int"), "__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    got = rows.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 2")
     return got.select(F.col(key), F.col("__t").alias(left_time), *cols, F.col("__r.__rt").alias(f"source_{right_time}"), *[F.col(f"__r.{p}").alias(p) for p in payload])
 
 

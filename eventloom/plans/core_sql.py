@@ -44,4 +44,12 @@ P5_REPORT = (
      FROM (SELECT DISTINCT link_id, ref_field, f, orphan_kind FROM o WHERE orphan_kind IS NOT NULL) GROUP BY 1, 2, 3"""
 )
 
-ORACLES = {"p2_found": P2, "p5_found": P5, "p5_report": P5_REPORT}
+#: The wide table's columns and how each is typed from a cell's plain text.
+_TYPES = dict.fromkeys(("status", "result", "yes_sub_title"), "VARCHAR") | dict.fromkeys(("volume", "open_interest", "last_price", "yes_bid", "yes_ask"), "BIGINT") | {"can_close_early": "BOOLEAN", "expiration_date": "DATE"}
+_DAYS = [f"2025_06_{d:02d}" for d in range(23, 31)] + [f"2025_07_{d:02d}" for d in range(1, 16)]
+_COLUMNS = [f"CAST(max(CASE WHEN column_name = '{c}' THEN cell_value END) AS {t}) AS {c}" for c, t in _TYPES.items()] + [
+    f"CAST(max(CASE WHEN column_name = 'yes_{d}_{x}_PT' THEN cell_value END) AS BIGINT) / 100 AS yes_{d}_{x}_PT" for d in _DAYS for x in ("open_0500", "close_1700")
+]
+P2_WIDE = f"WITH w AS ({P2}) SELECT ticker, {', '.join(_COLUMNS)} FROM w GROUP BY ticker"
+
+ORACLES = {"p2_found": P2, "p2_wide": P2_WIDE, "p5_found": P5, "p5_report": P5_REPORT}

@@ -11,6 +11,7 @@ from eventloom.functions import text as X
 from eventloom.functions.hexid import canonical_hex, normalize_hex
 from eventloom.operators.asof import asof_join, cutoff_grid, weighted_mean
 from eventloom.operators.regress import within_regression
+from eventloom.operators.vectors import nearest_vectors
 from eventloom.sources import table
 
 QUERIES: dict = {}
@@ -69,20 +70,11 @@ def weighted_asof_series(spark: SparkSession, d: str) -> DataFrame:
     return _snapshots(spark, d).where("user_id > 0").groupBy("cutoff_label").agg(F.round(weighted_mean(F.col("value"), F.col("user_id")), 6).alias("weighted_value"), F.count("value").alias("n_prices"))
 
 
-_WIDE = [f"2024_01_{x:02d}_{t}" for x in (10, 20, 30) for t in ("open_0500_PT", "close_1700_PT")]
-
-
-@query(SNAP_SQL + " SELECT user_id, " + ", ".join(f"max(CASE WHEN cutoff_label = '{c}' THEN value END) AS \"yes_{c}\"" for c in _WIDE) + " FROM s GROUP BY 1")
-def snapshots_wide(spark: SparkSession, d: str) -> DataFrame:
-    w = _snapshots(spark, d).groupBy("user_id").pivot("cutoff_label", _WIDE).agg(F.first("value"))
-    return w.select("user_id", *[F.col(c).alias(f"yes_{c}") for c in _WIDE])
-
-
 _ALL = [f"2024_01_{x:02d}_{t}" for x in range(1, 31) for t in ("open_0500_PT", "close_1700_PT")]
 
 
 @query(SNAP_SQL + " SELECT user_id, " + ", ".join(f"max(CASE WHEN cutoff_label = '{c}' THEN value END) AS \"yes_{c}\"" for c in _ALL) + " FROM s GROUP BY 1")
-def snapshots_wide_all(spark: SparkSession, d: str) -> DataFrame:
+def snapshots_wide(spark: SparkSession, d: str) -> DataFrame:
     """Every cutoff of the calendar as a column."""
     w = _snapshots(spark, d).groupBy("user_id").pivot("cutoff_label", _ALL).agg(F.first("value"))
     return w.select("user_id", *[F.col(c).alias(f"yes_{c}") for c in _ALL])
@@ -210,18 +202,6 @@ def key_match(spark: SparkSession, d: str) -> DataFrame:
     return p.join(k, F.col("pm_key") == F.col("k_key")).select("pm_market_id", "k_market_id", F.col("pm_key").alias("contract_key")).distinct()
 
 
-@query(f"""WITH c AS ({_C}) SELECT DISTINCT p.market_id AS pm_market_id, k.market_id AS k_market_id, p.contract_key AS pm_key, k.contract_key AS k_key,
- CASE WHEN coalesce(p.deadline, '') <> coalesce(k.deadline, '') THEN 'deadline_mismatch:' || coalesce(nullif(p.deadline, ''), '<blank>') || '!=' || coalesce(nullif(k.deadline, ''), '<blank>') ELSE '' END AS reason
- FROM c p JOIN c k USING (entity_signature) WHERE p.exchange = 'polymarket' AND k.exchange = 'kalshi' AND p.contract_key <> k.contract_key AND entity_signature <> ''
- QUALIFY row_number() OVER (PARTITION BY entity_signature ORDER BY p.market_id, k.market_id, p.contract_key, k.contract_key, p.deadline, k.deadline) <= 200""")
-def review_candidates(spark: SparkSession, d: str) -> DataFrame:
-    p, k = _canonical(spark, d, "polymarket", "pm_"), _canonical(spark, d, "kalshi", "k_")
-    j = p.join(k, (F.col("pm_sig") == F.col("k_sig")) & (F.col("pm_key") != F.col("k_key")) & (F.col("pm_sig") != ""))
-    w = Window.partitionBy("pm_sig").orderBy("pm_market_id", "k_market_id", "pm_key", "k_key", F.asc_nulls_last("pm_deadline"), F.asc_nulls_last("k_deadline"))
-    j = j.withColumn("rn", F.row_number().over(w)).where("rn <= 200")
-    return j.select("pm_market_id", "k_market_id", "pm_key", "k_key", X.mismatch(["deadline"], "pm_", "k_").alias("reason")).distinct()
-
-
 _FIELDS = ["market_family", "predicate", "subject", "obj", "scope", "deadline", "season", "direction", "threshold"]
 _DIFFERS = ", ".join(f"CASE WHEN coalesce(CAST(p.{c} AS VARCHAR), '') <> coalesce(CAST(k.{c} AS VARCHAR), '') THEN '{c}_mismatch:' || coalesce(nullif(CAST(p.{c} AS VARCHAR), ''), '<blank>') || '!=' || coalesce(nullif(CAST(k.{c} AS VARCHAR), ''), '<blank>') END" for c in _FIELDS)
 
@@ -229,7 +209,7 @@ _DIFFERS = ", ".join(f"CASE WHEN coalesce(CAST(p.{c} AS VARCHAR), '') <> coalesc
 @query(f"""WITH c AS (SELECT DISTINCT exchange, CASE WHEN exchange = 'kalshi' THEN upper(trim(market_id)) ELSE market_id END AS market_id, contract_key, entity_signature, {', '.join(_FIELDS)} FROM contract_canonical_markets WHERE contract_key <> '' AND entity_signature <> '')
  SELECT DISTINCT p.market_id AS pm_market_id, k.market_id AS k_market_id, p.contract_key AS pm_key, k.contract_key AS k_key, coalesce(nullif(concat_ws('; ', {_DIFFERS}), ''), 'same_contract_key') AS reason
  FROM c p JOIN c k USING (entity_signature) WHERE p.exchange = 'polymarket' AND k.exchange = 'kalshi' AND p.contract_key <> k.contract_key""")
-def review_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+def review_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Every near miss, with all the fields that differ."""
     c = table(spark, d, "contract_canonical_markets").where("contract_key <> '' AND entity_signature <> ''")
 
@@ -242,10 +222,11 @@ def review_candidates_all(spark: SparkSession, d: str) -> DataFrame:
     return j.select("pm_market_id", "k_market_id", "pm_key", "k_key", F.when(reason == "", "same_contract_key").otherwise(reason).alias("reason")).distinct()
 
 
-_LIST = "regexp_replace(coalesce(outcomes, ''), '''', '\"', 'g')"
+_LIST = "CASE WHEN json_valid(replace({0}, chr(39), chr(34))) THEN CAST(replace({0}, chr(39), chr(34)) AS VARCHAR[]) ELSE CAST([] AS VARCHAR[]) END"
 
 
-@query(None)
+@query(f"""WITH m AS (SELECT DISTINCT id, outcomes, clob_token_ids FROM pm_markets), l AS (SELECT id, {_LIST.format('outcomes')} AS o, {_LIST.format('clob_token_ids')} AS k FROM m),
+ t AS (SELECT id, o, k, unnest(generate_series(1, len(k))) AS i FROM l) SELECT id, CAST(i - 1 AS INT) AS pos, k[i] AS token_id, coalesce(o[i], 'outcome_' || (i - 1)) AS outcome_name FROM t""")
 def explode_outcomes(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "pm_markets").select("id", "outcomes", "clob_token_ids").distinct()
     t = m.select("id", X.list_of(F.col("outcomes")).alias("o"), F.posexplode(X.list_of(F.col("clob_token_ids"))).alias("pos", "token_id"))
@@ -330,26 +311,12 @@ def wide_to_long(spark: SparkSession, d: str) -> DataFrame:
     return c.unpivot("market_id", ["subject", "scope", "season"], "field", "value").where("value <> ''")
 
 
-@query("SELECT a.vec_id, arg_max(b.vec_id, list_cosine_similarity(a.embedding, b.embedding)) AS best_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1")
-def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"), F.col("norm").alias("nx"), "label")
-    j = a.join(e, "label").where("a_id <> vec_id").withColumn("sim", dot(F.col("x"), F.col("embedding")) / (F.col("nx") * F.col("norm")))
-    return j.groupBy(F.col("a_id").alias("vec_id")).agg(F.max_by("vec_id", "sim").alias("best_id"))
-
-
 @query("""SELECT vec_id, best_id FROM (SELECT a.vec_id, b.vec_id AS best_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, best_id) = 1""")
-def cosine_top1_all(spark: SparkSession, d: str) -> DataFrame:
+def cosine_top1(spark: SparkSession, d: str) -> DataFrame:
     """Nearest of all rows, whatever their label; of equals the least id."""
-    e = table(spark, d, "embeddings")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("x"), F.col("norm").alias("nx"))
-    j = e.crossJoin(a).where("a_id <> vec_id").withColumn("sim", F.round(dot(F.col("x"), F.col("embedding")) / (F.col("nx") * F.col("norm")), 9))
-    return j.groupBy(F.col("a_id").alias("vec_id")).agg(F.max_by("vec_id", F.struct("sim", -F.col("vec_id"))).alias("best_id"))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest_vectors(e.where("vec_id % 100 = 0"), e).select("vec_id", "best_id")
 
 
 @query("""WITH m AS (SELECT DISTINCT pm_id, k_ticker, pm_question, k_title FROM market_matches_embeddings), t AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(lower(pm_question), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 3)) AS a,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventloom.plans import core_problems, core_sql, reference
+from eventloom.plans import core_problems, core_sql, reference, study  # noqa: F401  study adds its queries to reference's
 
 
 def queries() -> dict:

@@ -110,26 +110,26 @@ def test_orphans(spark):
 
 
 def test_nearest_vector_of_any_label(spark, tmp_path):
-    from eventloom.plans.reference import cosine_top1_all
+    from eventloom.plans.reference import cosine_top1
 
     rows = [(0, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (3, [2.0, 0.1], "b"), (2, [2.0, 0.1], "b")]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [tuple(r) for r in cosine_top1_all(spark, str(tmp_path)).collect()] == [(0, 2)]
+    assert [tuple(r) for r in cosine_top1(spark, str(tmp_path)).collect()] == [(0, 2)]
 
 
 def test_review_candidates_are_whole(spark, tmp_path):
-    from eventloom.plans.reference import _FIELDS, review_candidates_all
+    from eventloom.plans.reference import _FIELDS, review_candidates
 
     row = lambda ex, i, key, subject: (ex, f"{ex}{i}", key, "sig", *["x" if c != "subject" else subject for c in _FIELDS])
     rows = [row("polymarket", i, "p", "a") for i in range(30)] + [row("kalshi", i, "k", "b") for i in range(30)]
     names = ["exchange", "market_id", "contract_key", "entity_signature", *_FIELDS]
     spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).write.parquet(f"{tmp_path}/contract_canonical_markets.parquet")
-    got = review_candidates_all(spark, str(tmp_path)).collect()
+    got = review_candidates(spark, str(tmp_path)).collect()
     assert len(got) == 900 and {r.reason for r in got} == {"subject_mismatch:a!=b"}
 
 
 def test_every_cutoff_has_a_column(spark):
-    from eventloom.plans.reference import cutoff_calendar, snapshots_wide_all
+    from eventloom.plans.reference import cutoff_calendar, snapshots_wide
 
     labels = {f"yes_{r.cutoff_label}" for r in cutoff_calendar(spark, "").collect()}
-    assert len(labels) == 60 and set(snapshots_wide_all(spark, f"{ROOT}/sf0.001").columns) == {"user_id"} | labels
+    assert len(labels) == 60 and set(snapshots_wide(spark, f"{ROOT}/sf0.001").columns) == {"user_id"} | labels
