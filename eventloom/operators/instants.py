@@ -105,7 +105,7 @@ def _year_of(days: Column) -> Column:
 
 
 def _block(year: Column) -> Column:
-    return F.floor((F.greatest(year, F.lit(FIRST_YEAR)) - FIRST_YEAR) / BLOCK).cast("int")
+    return F.when(year.isNotNull(), F.floor((F.greatest(year, F.lit(FIRST_YEAR)) - FIRST_YEAR) / BLOCK).cast("int"))
 
 
 def zone_table(spark: SparkSession) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from eventloom.plans.instants_sql import P4_FOUND, P4_STATES
+
 _CELL_NAME = """
     regexp_replace(lower(attr_name), '[^a-z0-9]', '', 'g') AS bare,
     regexp_extract(lower(attr_name), '^[^a-z0-9]*yes[^a-z0-9]*2025(?:[^a-z0-9]+([0-9]{1,2})[^a-z0-9]+([0-9]{1,2})|([0-9]{2})([0-9]{2}))[^a-z0-9]*(open[^a-z0-9]*0500|close[^a-z0-9]*1700)[^a-z0-9]*pt[^a-z0-9]*$',
@@ -52,4 +54,4 @@ _COLUMNS = [f"CAST(max(CASE WHEN column_name = '{c}' THEN cell_value END) AS {t}
 ]
 P2_WIDE = f"WITH w AS ({P2}) SELECT ticker, {', '.join(_COLUMNS)} FROM w GROUP BY ticker"
 
-ORACLES = {"p2_found": P2, "p2_wide": P2_WIDE, "p5_found": P5, "p5_report": P5_REPORT}
+ORACLES = {"p2_found": P2, "p2_wide": P2_WIDE, "p4_found": P4_FOUND, "p4_states": P4_STATES, "p5_found": P5, "p5_report": P5_REPORT}

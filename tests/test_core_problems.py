@@ -68,7 +68,7 @@ TEXTS = [
     ("2044-05-01 05:00:00", UTC, us(2044, 5, 1, 5)), ("1985-05-01 05:00:00", UTC, us(1985, 5, 1, 5)), ("1985-05-01 05:00:00", PACIFIC, us(1985, 5, 1, 5, zone=PACIFIC)), ("2044-07-01 05:00 ET", UTC, us(2044, 7, 1, 5, zone="America/New_York")),
     ("2163-07-01 05:00:00", PACIFIC, us(2163, 7, 1, 5, zone=PACIFIC)), ("2400-02-29 05:00:00", PACIFIC, us(2400, 2, 29, 5, zone=PACIFIC)), ("1890-02-28 05:00:00", "Europe/Berlin", us(1890, 2, 28, 5) - 3208 * 10**6), ("1925-07-01 05:00:00", "Europe/London", us(1925, 7, 1, 4)),
 ]
-BAD = [("2024-11-03 01:30:00", PACIFIC, "ambiguous"), ("2025-03-09 02:30 PT", PACIFIC, "nonexistent"), ("pending", UTC, "unreadable"), ("0000-00-00 00:00:00", UTC, "unreadable"), ("2025-02-30 00:00:00", UTC, "unreadable"), (" ", UTC, "blank"), (None, UTC, "blank"), ("2025-01-01 25:00:00", UTC, "unreadable"), ("x" * 50_000, UTC, "unreadable")]
+BAD = [("2024-11-03 01:30:00", PACIFIC, "ambiguous"), ("2025-03-09 02:30 PT", PACIFIC, "nonexistent"), ("pending", UTC, "unreadable"), ("pending", PACIFIC, "unreadable"), ("0000-00-00 00:00:00", PACIFIC, "unreadable"), ("0000-00-00 00:00:00", UTC, "unreadable"), ("2025-02-30 00:00:00", UTC, "unreadable"), (" ", UTC, "blank"), (None, UTC, "blank"), ("2025-01-01 25:00:00", UTC, "unreadable"), ("x" * 50_000, UTC, "unreadable")]
 
 
 def test_instants(spark):
