@@ -166,14 +166,18 @@ def may_hold(met: np.ndarray, telling: np.ndarray, stretch: int) -> bool:
     A bound: what accepted() takes always passes.
     """
     n = len(met)
-    if n < stretch:
+    if n < stretch or met.sum() < HIT * stretch:
         return False
     if n > 2000:
         return True
-    a = np.r_[0.0, np.cumsum(met - HIT)]
-    b = np.r_[0.0, np.cumsum(telling * (met - TOLD))]
-    last, first = np.arange(stretch, n + 1)[:, None], np.arange(n - stretch + 1)[None, :]
-    return bool(((last - first >= stretch) & (a[last] - a[first] >= -1e-9) & (b[last] - b[first] >= -1e-9)).any())
+    a, b = np.zeros(n + 1), np.zeros(n + 1)
+    np.cumsum(met - HIT, out=a[1:])
+    np.cumsum(telling * (met - TOLD), out=b[1:])
+    m = n - stretch + 1
+    # ends in rows, beginnings in columns; at and below the diagonal they are a stretch apart
+    ok = a[stretch:, None] >= a[None, :m] - 1e-9
+    ok &= b[stretch:, None] >= b[None, :m] - 1e-9
+    return bool(np.tril(ok).any())
 
 
 def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) -> list[tuple[int, int, int, int, int, int]]:
@@ -182,10 +186,14 @@ def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) ->
     all_codes = [[known(w) or items.codes(w) for w in ws] for ws in docs]
     flat = np.array([c[0] for cs in all_codes for c in (*cs, (1,))], np.int64)
     size = np.array([len(cs) + 1 for cs in all_codes])
+    begin = np.cumsum(size) - size
+    # words that are several item words but for a slip, and those others
+    several = [(begin[k] + j, c) for k, cs in enumerate(all_codes) for j, c in enumerate(cs) if len(c) > 1]
+    several_at = np.array([x for x, _ in several], np.int64)
     # of a run of words that no item has, one is enough to keep its neighbours apart
     keep = np.flatnonzero((flat != 1) | (np.r_[0, flat[:-1]] != 1))
     doc_of = np.repeat(np.arange(len(docs)), size)[keep]
-    place = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))[keep]
+    place = (np.arange(len(flat)) - np.repeat(begin, size))[keep]
     code = flat[keep]
     index = FMIndex(np.r_[code, 0])
     lo, hi = index.search(items.seeds)
@@ -218,27 +226,21 @@ def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) ->
     ends = np.r_[cut[1:], len(d)]
     spans = zip(d[cut].tolist(), it[cut].tolist(), *(f.reduceat(x, cut).tolist() for f, x in ((np.minimum, p), (np.maximum, p), (np.minimum, ip), (np.maximum, ip))), diag[cut].tolist(), diag[ends - 1].tolist())
     for doc, item, p0, p1, i0, i1, low, high in spans:
-        ws, iw = all_codes[doc], items.code[item]
-        first, last = max(0, p0 - REACH), min(len(ws), p1 + REACH)
+        iw, b = items.code[item], int(begin[doc])
+        first, last = max(0, p0 - REACH), min(len(all_codes[doc]), p1 + REACH)
         i_first, i_last = max(0, i0 - REACH), min(len(iw), i1 + REACH)
-        same = _same(iw[i_first:i_last], ws[first:last])
-        band = np.arange(first, last)[None, :] - np.arange(i_first, i_last)[:, None]
-        same &= (band >= low - 2 * BAND) & (band <= high + 2 * BAND)
+        same = iw[i_first:i_last, None] == flat[None, b + first : b + last]
+        for k in range(*np.searchsorted(several_at, (b + first, b + last))):
+            for other in several[k][1][1:]:
+                same[:, several[k][0] - b - first] |= iw[i_first:i_last] == other
+        shift = i_first - first
+        same = np.tril(np.triu(same, low - 2 * BAND + shift), high + 2 * BAND + shift)
         tell = items.telling[item][i_first:i_last]
         if may_hold(same.any(1), tell, stretch):
             out += [(doc, item, first + a, first + b, i_first + x, i_first + y) for a, b, x, y in stretches(same, tell, low - 2 * BAND + i_first - first, high + 2 * BAND + i_first - first, stretch)]
     return list(set(out))
 
 
-def _same(item: np.ndarray, doc: list[tuple[int, ...]]) -> np.ndarray:
-    """same[i, j]: whether document word j is item word i or it but for a slip."""
-    same = item[:, None] == np.array([c[0] for c in doc])[None, :]
-    for j, c in enumerate(doc):
-        for other in c[1:]:
-            same[:, j] |= item == other
-    return same
-
-
 def stretches(same: np.ndarray, telling: np.ndarray, low: int, high: int, stretch: int) -> list[tuple[int, int, int, int]]:
     """(document range, item range) of the accepted alignments; the parts before and after one are searched again."""
     todo, out = [(0, same.shape[1])], []
