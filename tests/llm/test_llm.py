@@ -245,6 +245,12 @@ def test_subjects(spark):
     assert got[1] == {"law"} and got[2] == {"sports"} and 101 not in got and 102 not in got
     assert got[103] == {"law", "sports"} and got[104] == {"law"} and got[100] == {"general"}
     assert subjects(spark, d.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as m:  # more sources and addresses than are sent to every task
+        m.setattr("eventloom.llm.subjects.MOST_KEYS", 0)
+        other: dict = {}
+        for r in subjects(spark, d, stock_share=0.9).collect():
+            other.setdefault(r.doc_id, set()).add(r.subject)
+    assert other == got
 
 
 def test_copies_and_small_languages_are_not_stock(spark):
