@@ -81,6 +81,18 @@ POLICIES = [
 ]
 MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?|september|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 YEAR = r"\b(20\d{2})\b"
+EXITS = [
+    ("resign", r"\bresigns?\b"), ("call_for_impeachment", "call for.*impeach|impeach.*call for"), ("convict_impeachment", "convict.*impeachment|impeachment.*convict"), ("impeached", r"\bbe impeached\b|\bimpeached in\b"),
+    ("removed_from_office", "removed from office"), ("leave_office", r"\bout as .*(?:president|fed chair|supreme leader)\b|\bfirst leader out\b|\bout this year\b|\bout in 20\d{2}\b|\bleaves? before\b"), ("reinstated", r"\breinstated as president\b"),
+]
+LEADERS = [("largest_company_by_market_cap", "largest company in the world by market cap"), ("top_ai_model", "top ai model|best ai at year end|best ai in mar")]
+AWARDS = [("nobel_peace_prize", "nobel peace prize"), ("best_picture_oscar", "best picture oscar"), ("top_spotify_artist", "top spotify artist")]
+MEDIA = [("top_grossing_movie", "top grossing movie"), ("domestic_opening_weekend", "best domestic opening weekend"), ("eurovision", "eurovision")]
+INDICATORS = [("thirty_year_fixed_mortgage_rate", "30[- ]year fixed rate mortgage|mortgage rate"), ("new_home_sales", "new home sales|new u.?s.? home sales")]
+RATE_ACTS = [("hold", "no change|maintains rate|hike rates by 0bps"), ("cut", "cut|decreases"), ("hike", "hike|increases")]
+ASSETS = r"\b(bitcoin|btc|ethereum|solana|\$trump|official trump)\b"
+FED_LEVEL = r"upper bound of the federal funds rate be above\s+(\d+(?:\.\d+)?)%.*?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{1,2}),\s+(20\d{2})"
+GAME_SLUG = r"\b(nba|nhl|mlb|nfl|cbb|cfb|cwbb)-[a-z0-9]+-[a-z0-9]+-(20\d{2}-\d{2}-\d{2})\b"
 # Fixed values end here.
 
 
@@ -198,10 +210,7 @@ def _leader_contact(r: SimpleNamespace) -> Column:
 
 
 def _office_exit(r: SimpleNamespace) -> Column:
-    act = first_of(r.t, [
-        ("resign", r"\bresigns?\b"), ("call_for_impeachment", "call for.*impeach|impeach.*call for"), ("convict_impeachment", "convict.*impeachment|impeachment.*convict"), ("impeached", r"\bbe impeached\b|\bimpeached in\b"),
-        ("removed_from_office", "removed from office"), ("leave_office", r"\bout as .*(?:president|fed chair|supreme leader)\b|\bfirst leader out\b|\bout this year\b|\bout in 20\d{2}\b|\bleaves? before\b"), ("reinstated", r"\breinstated as president\b"),
-    ])
+    act = first_of(r.t, EXITS)
     return _is(r.person.isNotNull() & act.isNotNull(), "office_exit", 0.88, "office exit template", predicate=act, subject=r.person, deadline=F.coalesce(r.deadline, F.when(r.t.contains("this year"), F.concat(F.lit("year:"), r.year))))
 
 
@@ -241,7 +250,7 @@ def _election_winner(r: SimpleNamespace) -> Column:
 
 
 def _sports_game(r: SimpleNamespace) -> Column:
-    slug = r"\b(nba|nhl|mlb|nfl|cbb|cfb|cwbb)-[a-z0-9]+-[a-z0-9]+-(20\d{2}-\d{2}-\d{2})\b"
+    slug = GAME_SLUG
     nfl = r"kxnflgame-(\d{2})([a-z]{3})(\d{2})"
     scope = F.coalesce(F.concat(got(r.slug, slug), F.lit("_game")), F.when(r.ticker.rlike(nfl), "nfl_game"), F.when(r.t.rlike(r"\b.+?\s+vs\.?\s+.+?\b"), "generic_head_to_head"))
     of_ticker = F.concat_ws("-", F.concat(F.lit("20"), got(r.ticker, nfl)), F.lpad(F.coalesce(month_number(got(r.ticker, nfl, 2)), F.lit(0)).cast("string"), 2, "0"), got(r.ticker, nfl, 3))
@@ -285,7 +294,7 @@ def _fed_count(r: SimpleNamespace) -> Column:
 
 
 def _fed_level(r: SimpleNamespace) -> Column:
-    p = r"upper bound of the federal funds rate be above\s+(\d+(?:\.\d+)?)%.*?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{1,2}),\s+(20\d{2})"
+    p = FED_LEVEL
     day = F.concat_ws("-", got(r.t, p, 4), F.lpad(month_number(got(r.t, p, 2)).cast("string"), 2, "0"), F.lpad(got(r.t, p, 3), 2, "0"))
     return _is(r.t.rlike(p), "fed_rate_level", 0.8, "fed funds level template", predicate="upper_bound", scope=F.concat(F.lit("fed_meeting:"), day), direction="above", threshold=got(r.t, p))
 
@@ -294,14 +303,14 @@ def _fed_decision(r: SimpleNamespace) -> Column:
     meeting, listed = rf"\b{MONTH}\s+(20\d{{2}})\s+meeting", r"feddecision-(\d{2})([a-z]{3})"
     two = lambda c: F.lpad(F.coalesce(month_number(c), F.lit(0)).cast("string"), 2, "0")
     when = F.when(r.t.rlike(meeting), F.concat(got(r.t, meeting, 2), F.lit("-"), two(got(r.t, meeting)))).when(r.ticker.rlike(listed), F.concat(F.lit("20"), got(r.ticker, listed), F.lit("-"), two(got(r.ticker, listed, 2))))
-    act = first_of(r.t, [("hold", "no change|maintains rate|hike rates by 0bps"), ("cut", "cut|decreases"), ("hike", "hike|increases")])
+    act = first_of(r.t, RATE_ACTS)
     direction = F.when(act == "hold", "hold").when(r.t.rlike("[>+]"), "greater_than").otherwise("equal")
     size = F.when(act == "hold", "0").otherwise(got(r.t, r"by\s+(?:>=?)?\s*(\d+)\s*bps"))
     return _is(_fed(r) & when.isNotNull() & act.isNotNull(), "fed_decision", 0.86, "fed decision template", predicate=act, scope=F.concat(F.lit("fed_meeting:"), when), direction=direction, threshold=size)
 
 
 def _asset(r: SimpleNamespace) -> Column:
-    said = got(r.t, r"\b(bitcoin|btc|ethereum|solana|\$trump|official trump)\b")
+    said = got(r.t, ASSETS)
     return F.when(said == "btc", "bitcoin").when(said.isin("$trump", "official trump"), "official_trump").otherwise(said)
 
 
@@ -321,7 +330,7 @@ def _asset_threshold(r: SimpleNamespace) -> Column:
 
 
 def _market_leader(r: SimpleNamespace) -> Column:
-    scope = first_of(r.t, [("largest_company_by_market_cap", "largest company in the world by market cap"), ("top_ai_model", "top ai model|best ai at year end|best ai in mar")])
+    scope = first_of(r.t, LEADERS)
     subject = canonical_alias(F.coalesce(r.label, F.when(scope == "top_ai_model", got(r.t, r"will\s+(.+?)\s+have\s+the\s+top ai model")).otherwise(got(r.t, r"will\s+(.+?)\s+be\s+the\s+largest company"))))
     return _is(scope.isNotNull() & subject.isNotNull(), "market_leader", 0.78, "market leader template", predicate="lead", subject=subject, scope=scope, deadline=F.coalesce(r.deadline, deadline_from_ticker(r.ticker)), season=F.coalesce(r.stated_year, r.year))
 
@@ -347,20 +356,20 @@ def _policy(r: SimpleNamespace) -> list[Column]:
 
 
 def _award(r: SimpleNamespace) -> Column:
-    scope = first_of(r.t, [("nobel_peace_prize", "nobel peace prize"), ("best_picture_oscar", "best picture oscar"), ("top_spotify_artist", "top spotify artist")])
+    scope = first_of(r.t, AWARDS)
     subject = F.coalesce(canonical_alias(r.label), canonical_alias(got(r.t, r"will\s+(.+?)\s+win")))
     return _is(scope.isNotNull() & subject.isNotNull(), "award", 0.82, "award winner template", predicate="win", subject=subject, scope=scope, season=F.coalesce(r.stated_year, r.year))
 
 
 def _media(r: SimpleNamespace) -> Column:
-    scope = first_of(r.t, [("top_grossing_movie", "top grossing movie"), ("domestic_opening_weekend", "best domestic opening weekend"), ("eurovision", "eurovision")])
+    scope = first_of(r.t, MEDIA)
     named = F.when(scope == "eurovision", got(r.t, r"will\s+(.+?)\s+win\s+eurovision")).when(scope == "domestic_opening_weekend", got(r.t, r"will\s+['\"]?(.+?)['\"]?\s+have\s+the\s+best domestic opening weekend")).otherwise(got(r.t, r"will\s+(.+?)\s+be\s+the\s+top grossing movie"))
     subject = canonical_alias(F.coalesce(r.label, named))
     return _is(scope.isNotNull() & subject.isNotNull(), "media", 0.8, "media winner template", predicate="win", subject=subject, scope=scope, season=F.coalesce(r.stated_year, r.year))
 
 
 def _economy(r: SimpleNamespace) -> Column:
-    scope = first_of(r.t, [("thirty_year_fixed_mortgage_rate", "30[- ]year fixed rate mortgage|mortgage rate"), ("new_home_sales", "new home sales|new u.?s.? home sales")])
+    scope = first_of(r.t, INDICATORS)
     ok = r.t.rlike(r"\babove\b|\bbelow\b|\breach\b") & scope.isNotNull()
     figure = F.replace(got(r.t, r"(\d+(?:,\d{3})*(?:\.\d+)?)\s*%?"), F.lit(","), F.lit(""))
     return _is(ok, "economic_threshold", 0.84, "economic threshold template", predicate="threshold", scope=scope, deadline=r.deadline, direction=F.when(r.t.contains("above"), "above").when(r.t.contains("below"), "below"), threshold=figure)
