@@ -223,19 +223,28 @@ def search_shard(items: Items, docs: list[list[str]], stretch: int = STRETCH) ->
     d, it, p, ip, diag = d[hit], it[hit], p[hit], ip[hit], diag[hit]
     cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (diag[1:] - diag[:-1] > BAND)])
     out: list[tuple] = []
+    there = np.zeros(len(items.number) + 2, bool)
     ends = np.r_[cut[1:], len(d)]
     spans = zip(d[cut].tolist(), it[cut].tolist(), *(f.reduceat(x, cut).tolist() for f, x in ((np.minimum, p), (np.maximum, p), (np.minimum, ip), (np.maximum, ip))), diag[cut].tolist(), diag[ends - 1].tolist())
     for doc, item, p0, p1, i0, i1, low, high in spans:
         iw, b = items.code[item], int(begin[doc])
         first, last = max(0, p0 - REACH), min(len(all_codes[doc]), p1 + REACH)
         i_first, i_last = max(0, i0 - REACH), min(len(iw), i1 + REACH)
-        same = iw[i_first:i_last, None] == flat[None, b + first : b + last]
-        for k in range(*np.searchsorted(several_at, (b + first, b + last))):
-            for other in several[k][1][1:]:
-                same[:, several[k][0] - b - first] |= iw[i_first:i_last] == other
+        near, want, tell = flat[b + first : b + last], iw[i_first:i_last], items.telling[item][i_first:i_last]
+        more = [several[k] for k in range(*np.searchsorted(several_at, (b + first, b + last)).tolist())]
+        others = [other for _, c in more for other in c[1:]]
+        # first whether the words are there at all, then whether they are in the band
+        there[near], there[others] = True, True
+        met = there[want]
+        there[near], there[others] = False, False
+        if not may_hold(met, tell, stretch):
+            continue
+        same = want[:, None] == near[None, :]
+        for at, c in more:
+            for other in c[1:]:
+                same[:, at - b - first] |= want == other
         shift = i_first - first
         same = np.tril(np.triu(same, low - 2 * BAND + shift), high + 2 * BAND + shift)
-        tell = items.telling[item][i_first:i_last]
         if may_hold(same.any(1), tell, stretch):
             out += [(doc, item, first + a, first + b, i_first + x, i_first + y) for a, b, x, y in stretches(same, tell, low - 2 * BAND + i_first - first, high + 2 * BAND + i_first - first, stretch)]
     return list(set(out))
