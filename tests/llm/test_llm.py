@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.llm import queries
 from eventloom.llm.fmindex import FMIndex
 from eventloom.llm.leaks import leaked_passages, removal_spans
-from eventloom.llm.linkage import agreement, deadline, frames, link_markets, read_market
+from eventloom.llm.linkage import agreement, deadline, frames, link_markets, read_market, with_known_sub_titles
 from eventloom.llm.mixing import mixture, rake
 from eventloom.llm.nearest import LearnedIndex, nearest_in_time
 from eventloom.llm.subjects import document_subjects
@@ -175,6 +175,20 @@ def test_links_do_not_hang_on_the_number_of_markets(spark):
     assert {(x.left_id, x.right_id) for x in got} == {("1", "A"), ("5", "E"), ("6", "F")}
 
 
+def test_open_questions_match_nothing_unless_a_sub_title_is_known(spark):
+    now = dt.datetime(2025, 1, 1)
+    names = ["Davel Dokumar", "Pelra Sonubat", "Hefar Wojolin", "Zuka Terfolba"]
+    P = spark.createDataFrame([(str(i), f"Will {n} win the 2026 Golden Lantern?", now) for i, n in enumerate(names)], "id string, q string, at timestamp")
+    ask = "Who will win Golden Lantern in 2026?"
+    rows = [("A", ask, None, "Davel Dokumar", now), ("B", "Golden Lantern winner (2026)?", "Pelra Sonubat", " ", now), ("B", ask, None, None, now + dt.timedelta(1)), ("C", ask, " ", None, now), ("D", ask, None, None, now)]
+    K = spark.createDataFrame(rows, "id string, title string, yes_sub_title string, no_sub_title string, at timestamp")
+    others = spark.createDataFrame([("C", None, "Hefar Wojolin"), ("B", "Zuka Terfolba", None), (None, "x", "x")], "id string, yes_sub_title string, no_sub_title string")
+    right = frames(with_known_sub_titles(K, others), F.col("id"), F.col("title"), F.col("sub"), F.col("at"))
+    got = link_markets(frames(P, F.col("id"), F.col("q"), F.lit(None).cast("string"), F.col("at")), right).collect()
+    assert {(x.left_id, x.right_id) for x in got} == {("0", "A"), ("1", "B"), ("2", "C")}
+    assert read_market(ask, None) is None and read_market("Golden Lantern winner (2026)?", " ") is None and read_market("Will Ann Boru be the winner of the 2026 Golden Lantern?", None)
+
+
 def test_solution_is_the_least_loss(spark):
     """Two left classes of one right class, with a shared key, against a search of all values in steps."""
     from eventloom.llm.linkage import W_EXCLUSIVE, W_KEY, W_LIKE, W_NOT, W_OTHER_KEY, W_SIM, agreement, solve
