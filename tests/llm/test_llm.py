@@ -189,6 +189,14 @@ def test_open_questions_match_nothing_unless_a_sub_title_is_known(spark):
     assert read_market(ask, None) is None and read_market("Golden Lantern winner (2026)?", " ") is None and read_market("Will Ann Boru be the winner of the 2026 Golden Lantern?", None)
 
 
+def test_the_plan_does_not_grow_with_the_rounds(spark):
+    from eventloom.llm.linkage import solve
+
+    rows = [("f#ann boru", "f#ann boru", 0.9, 1, 0), ("f#ann borus", "f#ann boru", 0.8, 0, 0)]
+    got = solve(spark.createDataFrame(rows, "l_class string, r_class string, sim double, key_says int, days_say int"), rounds=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Window") <= 2
+
+
 def test_solution_is_the_least_loss(spark):
     """Two left classes of one right class, with a shared key, against a search of all values in steps."""
     from eventloom.llm.linkage import W_EXCLUSIVE, W_KEY, W_LIKE, W_NOT, W_OTHER_KEY, W_SIM, agreement, solve
