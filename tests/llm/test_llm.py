@@ -305,6 +305,27 @@ def test_frequent_and_short_names_meet(spark):
     assert got == {("1", "2"), ("3", "4"), ("5", "6")}
 
 
+def test_a_full_lexicon_needs_little_memory():
+    """What the driver makes of a full table of two areas: under 24 bytes an entry, where an object per row alone takes more."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from eventloom.llm.subjects import WIDTH, Lexicon, _joined
+
+    k, n = 3, WIDTH
+    ratios = np.random.default_rng(0).integers(-100, 100, (n, k)).astype(np.int8)
+    ends = np.arange(0, n * k + 1, k, dtype=np.int32)
+    column = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(ratios)])
+    entries = np.random.default_rng(1).permutation(n).astype(np.int32)
+    tracemalloc.start()
+    lexicon = Lexicon(entries, _joined(pa.chunked_array([column[: n // 3], column[:0], column[n // 3 :]])), {}, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * n
+    assert (lexicon.ratios[lexicon.at[entries[[0, 7, n - 1]]]] == ratios[[0, 7, n - 1]]).all()
+
+
 def test_a_new_area_is_read_from_the_table(spark):
     rows = [(i, f"The {'violin orchestra' if i % 2 else 'magistrate deposition'} of number {'abcdef'[i % 6]} was praised. ", "en", "news", "KXA" if i % 2 else "KXB") for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, subject string")
