@@ -53,3 +53,22 @@ def tfidf(docs: DataFrame, group: str, ident: list[str], text: str, most: float
     raw = tf.join(df, [group, "term"]).select(group, *ident, "term", (F.col("tf") * idf).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group, *ident)))
     return raw.select(group, *ident, "term", (F.col("w") / norm).alias("weight"))
+
+
+def cosine_pairs(weights: DataFrame, group: str, ident: list[str], side: str, least: float) -> DataFrame:
+    """(group, ident.. of side p with _p, of side k with _k): pairs of a group's texts whose cosine may reach ``least``, and all that do.
+
+    weights: tfidf() rows of both sides. With terms in one order, rarest first, let two texts' first common term be t. What
+    follows t adds at most the product of both rests' lengths, so the product of t's weights and this reach ``least``
+    or the cosine doesn't; the same holds with length one for the other text, so only the terms before
+    which a rest of that length is left can be t. Frequent terms, which most pairs share, are seldom among them.
+    """
+    slack = least - 1e-6
+    n = weights.groupBy(group, "term").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(group, *ident, side).orderBy("n", "term")
+    from_here = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    after = F.coalesce(F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))
+    first = weights.join(n, [group, "term"]).withColumns({"from_here": F.sqrt(from_here), "rest": F.sqrt(after)}).where(F.col("from_here") >= slack)
+    of = lambda x: first.where(F.col(side) == x).select(group, "term", *[F.col(c).alias(f"{c}_{x}") for c in [*ident, "weight", "rest"]])
+    met = of("p").join(of("k"), [group, "term"]).where(F.col("weight_p") * F.col("weight_k") + F.col("rest_p") * F.col("rest_k") >= slack)
+    return met.select(group, *[f"{c}_{x}" for x in "pk" for c in ident]).distinct()

@@ -19,6 +19,7 @@ from eventloom.operators.templates import FIELDS, PLACES, canonical_alias, expan
 from eventloom.operators.wide import melt, proper_ticker, to_wide
 from eventloom.plans.core_sql import P2
 from eventloom.plans.reference import query
+from eventloom.session import written
 from eventloom.sources import parquet_archive, table
 
 HEX = "regexp_replace(regexp_replace(lower(trim({0})), '^0x', ''), '^0+(.)', '\\1')"
@@ -437,13 +438,18 @@ _STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
  s AS (SELECT a.slug, a.id AS pm_id, b.id AS k_ticker, round(sum(a.w * b.w), 6) AS similarity FROM z a JOIN z b ON a.slug = b.slug AND a.term = b.term AND a.side = 'p' AND b.side = 'k' GROUP BY a.slug, a.id, b.id, a.t, b.t)
  SELECT slug, pm_id, k_ticker, similarity, CASE WHEN similarity >= 0.7 THEN 'HIGH_CONFIDENCE' WHEN similarity >= 0.6 THEN 'MEDIUM_CONFIDENCE' ELSE 'LOW_CONFIDENCE' END AS match_type FROM s WHERE similarity >= 0.5 QUALIFY row_number() OVER (PARTITION BY slug, pm_id ORDER BY similarity DESC, k_ticker DESC) = 1""")
 def tfidf_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Each market's best partner within its slug by cosine of term weights; texts meet through their terms."""
+    """Each market's best partner within its slug by cosine of term weights; texts meet through the terms that a cosine of a half needs."""
     p = _pairs(spark, d)
     docs = p.select("slug", F.lit("p").alias("side"), F.col("pm_id").alias("id"), F.col("pm_question").alias("t")).distinct().unionByName(p.select("slug", F.lit("k").alias("side"), F.col("k_ticker").alias("id"), F.col("k_text").alias("t")).distinct())
-    z = S.tfidf(docs, "slug", ["side", "id", "t"], F.col("t"))
-    a = z.where("side = 'p'").select("slug", "term", F.col("id").alias("pm_id"), F.col("t").alias("ta"), F.col("weight").alias("wa"))
-    b = z.where("side = 'k'").select("slug", "term", F.col("id").alias("k_ticker"), F.col("t").alias("tb"), F.col("weight").alias("wb"))
-    s = a.join(b, ["slug", "term"]).groupBy("slug", "pm_id", "k_ticker", "ta", "tb").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("similarity")).where("similarity >= 0.5")
+    docs, _ = written(docs.withColumn("no", F.monotonically_increasing_id()), "tfidf-texts")
+    z, _ = written(S.tfidf(docs, "slug", ["side", "no"], F.col("t")), "tfidf-weights")
+    # a text's weights as one list, read by both sides of every pair left
+    lists = z.groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("w"))
+    pairs = S.cosine_pairs(z, "slug", ["no"], "side", 0.5)
+    both = pairs.join(lists.withColumnsRenamed({"no": "no_p", "w": "w_p"}), "no_p").join(lists.withColumnsRenamed({"no": "no_k", "w": "w_k"}), "no_k")
+    dot = F.aggregate(F.map_entries("w_p"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("w_k", e["key"]), F.lit(0.0)))
+    s = both.select("no_p", "no_k", F.round(dot, 6).alias("similarity")).where("similarity >= 0.5")
+    s = s.join(docs.select(F.col("no").alias("no_p"), "slug", F.col("id").alias("pm_id")), "no_p").join(docs.select(F.col("no").alias("no_k"), F.col("id").alias("k_ticker")), "no_k")
     best = s.groupBy("slug", "pm_id").agg(F.max_by(F.struct("k_ticker", "similarity"), F.struct("similarity", "k_ticker")).alias("m")).select("slug", "pm_id", "m.*")
     return best.withColumn("match_type", S.confidence_bucket(F.col("similarity"), 0.7, 0.6))
 

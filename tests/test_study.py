@@ -80,3 +80,15 @@ def test_price_stream_equals_the_table(spark, tmp_path):
     q.awaitTermination(120)
     got, want = ({tuple(r) for r in df.collect()} for df in (spark.table("latest"), table))
     assert got == want and len(want) == 4
+
+
+def test_frequent_terms_make_no_pairs_of_texts(spark):
+    """Every text shares three frequent words with all others; only pairs that may reach a half are compared, and all that do."""
+    rows = [("g", x, i * 2 + (x == "k"), f"will cut rates {f'name{i}' if i % 3 or x == 'p' else f'other{i}'} {f'town{i % 50}'}") for x in "pk" for i in range(300)]
+    z = S.tfidf(spark.createDataFrame(rows, "slug string, side string, no long, t string"), "slug", ["side", "no"], F.col("t"))
+    got = {(r.no_p, r.no_k) for r in S.cosine_pairs(z, "slug", ["no"], "side", 0.5).collect()}
+    w: dict = {}
+    for r in z.collect():
+        w.setdefault((r.side, r.no), {})[r.term] = r.weight
+    true = {(a, b) for (x, a), u in w.items() if x == "p" for (y, b), v in w.items() if y == "k" and sum(u[t] * v.get(t, 0.0) for t in u) >= 0.5}
+    assert true and true <= got and len(got) < 300 * 300 / 20
