@@ -13,6 +13,7 @@ from eventloom.functions import text as X
 from eventloom.functions.hexid import PRICE_WORDS, canonical_hex
 from eventloom.operators import similarity as S
 from eventloom.operators.asof import asof_join, weighted_mean
+from eventloom.operators.closest import closest_texts
 from eventloom.operators.guards import duplicates
 from eventloom.operators.regress import within_regression
 from eventloom.operators.templates import FIELDS, PLACES, canonical_alias, expand_outcomes, parse_contracts
@@ -411,17 +412,15 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 def best_text_matches(spark: SparkSession, d: str) -> DataFrame:
     """Each market's best partner within its slug by 0.6 sequence ratio and 0.4 shared nouns, with a confidence bucket.
 
-    Candidates are those of the slug that share a noun, met through the nouns, or the market's own guess; a
-    pair without any shared noun can't reach a threshold by nouns, and the guess keeps it if its wording is alike.
+    Every partner of the slug counts, with or without a shared noun. A row without a slug stands for its own pair only.
     """
-    p = _pairs(spark, d)
-    a = p.select("slug", "pm_id", F.col("pm_question").alias("x")).distinct().withColumn("na", S.key_nouns(F.col("x")))
-    b = p.select("slug", "k_ticker", F.col("k_text").alias("y")).distinct().withColumn("nb", S.key_nouns(F.col("y")))
-    met = a.select("slug", "pm_id", "x", F.explode("na").alias("w")).join(b.select("slug", "k_ticker", "y", F.explode("nb").alias("w")), ["slug", "w"]).select("slug", "pm_id", "x", "k_ticker", "y").distinct()
-    met = met.unionByName(p.select("slug", "pm_id", F.col("pm_question").alias("x"), "k_ticker", F.col("k_text").alias("y"))).distinct()
-    scored = met.withColumns({"sequence": S.sequence_ratio(S.normalize_market_text(F.col("x")), S.normalize_market_text(F.col("y"))), "nouns": X.jaccard(S.key_nouns(F.col("x")), S.key_nouns(F.col("y")))})
-    scored = scored.withColumn("combined", 0.6 * F.col("sequence") + 0.4 * F.col("nouns"))
-    best = scored.groupBy("slug", "pm_id").agg(F.max_by(F.struct("k_ticker", "sequence", "nouns", "combined"), F.struct("combined", "k_ticker")).alias("m")).select("slug", "pm_id", "m.*")
+    p = _pairs(spark, d).withColumn("g", F.coalesce(F.concat(F.lit("="), "slug"), F.to_json(F.struct("pm_id", "pm_question", "k_ticker", "k_text"))))
+    side = lambda c, *rest: p.select("g", *rest, S.normalize_market_text(F.col(c)).alias("text"), F.concat_ws(" ", S.key_nouns(F.col(c))).alias("nouns"))
+    a, _ = written(side("pm_question", "slug", "pm_id").distinct(), "closest-questions")
+    b = side("k_text", "k_ticker").groupBy("g", "text", "nouns").agg(F.max("k_ticker").alias("k_ticker"))
+    texts, _ = written(a.select("g", "text", "nouns").distinct(), "closest-texts")
+    scored = closest_texts(texts, b).join(a.select("g", "text", "slug", "pm_id"), ["g", "text"])
+    best = scored.groupBy("slug", "pm_id").agg(F.max_by(F.struct("k_ticker", "sequence", "nouns", "combined"), F.struct("combined", "k_ticker", "sequence")).alias("m")).select("slug", "pm_id", "m.*")
     kept = best.where((F.col("sequence") >= 0.7) | (F.col("nouns") >= 0.3))
     return kept.select("slug", "pm_id", "k_ticker", *[F.bround(c, 3).alias(c) for c in ("sequence", "nouns", "combined")], S.confidence_bucket(F.col("sequence"), 0.85, 0.7, F.col("nouns") >= 0.5).alias("match_type"))
 

@@ -1,12 +1,14 @@
 """Sources, guards, text scores, as-of rules and the price stream on small fixtures."""
 
 import datetime as dt
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom import sources
-from eventloom.operators import guards
+from eventloom.operators import closest, guards
 from eventloom.operators import similarity as S
 from eventloom.operators.asof import asof_join
 from eventloom.operators.vectors import nearest_vectors
@@ -92,3 +94,56 @@ def test_frequent_terms_make_no_pairs_of_texts(spark):
         w.setdefault((r.side, r.no), {})[r.term] = r.weight
     true = {(a, b) for (x, a), u in w.items() if x == "p" for (y, b), v in w.items() if y == "k" and sum(u[t] * v.get(t, 0.0) for t in u) >= 0.5}
     assert true and true <= got and len(got) < 300 * 300 / 20
+
+
+def _closest_by_hand(text, nouns, partners):
+    def score(t, n, ticker):
+        a, b = set(nouns.split()), set(n.split())
+        sequence, share = SequenceMatcher(None, text, t).ratio(), len(a & b) / len(a | b) if a and b else 0.0
+        return 0.6 * sequence + 0.4 * share, (ticker is not None, ticker or ""), sequence, share
+
+    combined, (_, ticker), sequence, share = max(score(*p) for p in partners)
+    return ticker or None, sequence, share, combined
+
+
+def _odd_texts(n, seed):
+    r = random.Random(seed)
+    words = ["rate", "rates", "bank", "fox,", "fox", "2025", "\U0001f642b", "of", "the", "\u00e9\u00e9", "m" * 30]
+    texts = {"", "a", "x" * 70, "ab " * 70 + "c"} | {" ".join(r.choice(words) for _ in range(r.randint(1, r.choice([5, 12, 50])))) for _ in range(n)}
+    return [(t, " ".join(dict.fromkeys(w for w in t.split(" ") if len(w) >= 3 and w != "the"))) for t in sorted(texts)]
+
+
+def test_few_pairs_of_texts_are_scored(monkeypatch):
+    """All texts share two nouns; the best partner of each is that of a search of all pairs, and only a few pairs get their ratio."""
+    scored = []
+    monkeypatch.setattr(closest, "SequenceMatcher", lambda *a: scored.append(1) or SequenceMatcher(*a))
+    r = random.Random(3)
+    name = lambda: "".join(r.choice("abdefiklmnorstu") for _ in range(8))
+    names = [(name(), name()) for _ in range(300)]
+    mine = [(t, t) for t in (f"central bank {a} {b} cuts rates" for a, b in names)]
+    partners = [(t, t, f"k{i}") for i, t in enumerate(f"{a} central bank decision {b[:5]} rates" for a, b in names)]
+    got = closest.Group(partners).best([t for t, _ in mine], [n for _, n in mine])
+    assert len(scored) < 300 * 300 / 50
+    assert all(got[i] == _closest_by_hand(*mine[i], partners) for i in range(0, 300, 10))
+
+
+def test_closest_texts_in_blocks(spark):
+    mine, theirs = _odd_texts(30, 1), _odd_texts(40, 2)
+    texts = [(g, *x) for g in "ab" for x in mine] + [("lonely", "no partner", "partner")]
+    partners = [(g, *x, [None, "t", f"t{i % 7}"][i % 3]) for g in "ab" for i, x in enumerate(theirs)]
+    df = spark.createDataFrame(partners, "g string, text string, nouns string, k_ticker string")
+    want = {(g, *x): _closest_by_hand(*x, [(t, n, k) for h, t, n, k in partners if h == g]) for g in "ab" for x in mine}
+    for limits in ((7, 10**6), (1000, 300), (1000, 10**6)):
+        got = closest.closest_texts(spark.createDataFrame(texts, "g string, text string, nouns string"), df, *limits)
+        assert {(r.g, r.text): (r.k_ticker, r.sequence, r.nouns, r.combined) for r in got.collect()} == {k[:2]: v for k, v in want.items()}
+    assert closest.closest_texts(spark.createDataFrame(texts, "g string, text string, nouns string"), df.limit(0)).count() == 0
+
+
+def test_best_partner_needs_no_shared_noun(spark, tmp_path):
+    """Alike wordings without a common noun meet; rows without a slug stand for their own pair only."""
+    from eventloom.plans.registry import queries
+
+    rows = [("s", "1", "alpha-one, beta-two", "A", "rain tomorrow"), ("s", "2", "snow today", "B", "alpha-one; beta-two;"), (None, "3", "gamma three", "C", "gamma four"), (None, "4", "delta", "D", "gamma three")]
+    spark.createDataFrame([(*r, None, None) for r in rows], "slug string, pm_id string, pm_question string, k_ticker string, k_title string, k_yes_subtitle string, k_no_subtitle string").write.parquet(f"{tmp_path}/market_matches_embeddings.parquet")
+    got = {r.pm_id: (r.slug, r.k_ticker, r.match_type) for r in queries()["best_text_matches"](spark, str(tmp_path)).collect()}
+    assert got == {"1": ("s", "B", "HIGH_CONFIDENCE"), "3": (None, "C", "LOW_CONFIDENCE")}
